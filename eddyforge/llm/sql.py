@@ -79,9 +79,9 @@ win AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + le
   FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-at AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS words
+spot AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS words
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
-occ AS (SELECT a.doc_id, a.i, a.n, x.item FROM at a JOIN win x ON x.n = a.n AND x.words = a.words),
+occ AS (SELECT a.doc_id, a.i, a.n, x.item FROM spot a JOIN win x ON x.n = a.n AND x.words = a.words),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
 items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
@@ -103,8 +103,8 @@ def _op8() -> str:
     parts = []
     for name, rank, pattern, group, least in kinds:
         parts.append(f"""
-SELECT rid, doc_id, source, {rank} AS rank, '{name}' AS kind, at AS start, at + length(m[i]) AS stop, v[i] AS value FROM (
-  SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS at FROM (
+SELECT rid, doc_id, source, {rank} AS rank, '{name}' AS kind, spot AS start, spot + length(m[i]) AS stop, v[i] AS value FROM (
+  SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS spot FROM (
     SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
       SELECT rid, doc_id, source, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS v,
         string_split_regex(text, '{pattern}') AS g FROM d))) WHERE length(v[i]) >= {least}""")
