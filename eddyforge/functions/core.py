@@ -27,9 +27,17 @@ def joint(*xs: Column) -> Column:
     return out
 
 
+def ieee_ratio(n: Column, d: Column) -> Column:
+    """``ieee_div`` by the reciprocal: good to the last bit but one, and each operand stands once, so
+    long chains of it stay small enough to be compiled. For figures per sample."""
+    return n * F.pow(d, F.lit(-1.0))
+
+
 def ieee_div(n: Column, d: Column) -> Column:
     """Division that never raises: n/0 is a signed infinity, 0/0 and NaN/0 are NaN, NULL stays NULL."""
-    zero = F.when((n == 0) | F.isnan(n), F.lit(NAN)).otherwise(F.signum(n) * F.lit(INF) * F.when(d.cast("string") == "-0.0", -1.0).otherwise(1.0))
+    # The sign of a zero shows only in its text.
+    far = F.signum(n) * F.lit(INF) * F.when(d.cast("string") == "-0.0", -1.0).otherwise(1.0)
+    zero = F.when((n == 0) | F.isnan(n), F.lit(NAN)).otherwise(far)
     return F.when(d == 0, F.when(n.isNotNull(), zero)).otherwise(n / F.when(d == 0, F.lit(None)).otherwise(d))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .core import NAN, fin, finite, ieee_div
+from .core import NAN, fin, finite, ieee_div, ieee_ratio
 
 
 def saturation_vapour_pressure(t: Column) -> Column:
@@ -34,7 +34,7 @@ def latent_heat(t: Column) -> Column:
 
 
 def air_temperature_from_sonic(ts: Column, e: Column, p: Column) -> Column:
-    return ieee_div(ts, 1.0 + 0.32 * ieee_div(e, p))
+    return ieee_ratio(ts, 1.0 + 0.32 * ieee_ratio(e, p))
 
 
 def flux_factor(vd_mean: Column, density: bool) -> Column:

@@ -72,13 +72,14 @@ def rotate(df: DataFrame, cfg: Config) -> DataFrame:
 
 
 def detrend(df: DataFrame, cfg: Config) -> DataFrame:
-    """Block: nothing to subtract, covariances take their own means. Linear: subtracts each
-    variable's least-squares line on the row index. Adds <var>_mean of the series before."""
+    """Block: nothing to subtract, covariances take their own means and ``summarise`` the series'.
+    Linear: subtracts each variable's least-squares line on the row index and adds <var>_mean of the
+    series before."""
+    if cfg.detrend.method == "block":
+        return df
     names = [n for n in cfg.detrend.variables if n in df.columns]
     w = whole(df)
     means = {f"{n}_mean": F.avg(n).over(w) for n in names}
-    if cfg.detrend.method == "block":
-        return df.withColumns(means)
     i = F.col(INDEX).cast("double")
     out = means | {f"__slope_{n}": F.when(F.count(n).over(w) < 3, 0.0).otherwise(F.regr_slope(F.col(n), i).over(w)) for n in names}
     out |= {f"__offset_{n}": F.when(F.count(n).over(w) < 3, F.avg(n).over(w)).otherwise(F.regr_intercept(F.col(n), i).over(w)) for n in names}

@@ -13,6 +13,7 @@ from ..config import SERIES, Config
 from ..errors import StepError
 from ..operators import periods, samples
 from ..operators.common import INDEX, PERIOD, keys
+from ..operators.fused import fused
 from ..operators.lag import apply_lags
 from ..operators.moments import summarise
 from ..operators.thermo import thermodynamics
@@ -39,11 +40,15 @@ def first_periods(df: DataFrame, n: int) -> DataFrame:
 
 def run(df: DataFrame, cfg: Config, strategy: str = "arrow", limit: int | None = None, sample_steps: Sequence[Step] = (), period_steps: Sequence[Step] = ()) -> DataFrame:
     """One row per period with every figure, from cut samples. Further steps come after the built-in
-    ones of their kind."""
+    ones of their kind. ``arrow`` runs despiking, rotation and lag search in one numpy pass per
+    period, ``native`` as window functions and joins."""
     if limit is not None:
         df = first_periods(df, limit)
-    for name, step in SAMPLE_STEPS.items():
-        df = step(df, cfg, strategy) if name == "lag" else step(df, cfg)
+    if strategy == "arrow":
+        df = samples.detrend(thermodynamics(fused(samples.convert_cell(df, cfg), cfg), cfg), cfg)
+    else:
+        for name, step in SAMPLE_STEPS.items():
+            df = step(df, cfg, strategy) if name == "lag" else step(df, cfg)
     for step in sample_steps:
         df = step(df, cfg)
     p = summarise(df, cfg)

@@ -8,6 +8,7 @@ end. A stream drops late samples where a batch run refuses them; the stream's pr
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,18 +38,20 @@ def stateful_periods(df: DataFrame, cfg: Config, finish: Callable[[pd.DataFrame]
     """``finish`` gets each closed period's kept samples, in order, and returns its row or rows."""
     names = [c for c in df.columns if c != "period_end"]
 
+    def held(state: GroupState) -> pd.DataFrame:
+        return pd.read_json(io.StringIO(state.get[0]), orient="split", convert_dates=False)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            (held,) = state.get
+            data = held(state)
             state.remove()
-            yield finish(pd.read_json(held, orient="split", convert_dates=False) if isinstance(held, str) else held)
+            yield finish(data.assign(period_end_us=int(key[1])))
             return
-        parts = [pd.read_json(state.get[0], orient="split", convert_dates=False)] if state.exists else []
+        parts = [held(state)] if state.exists else []
         data = pd.concat([*parts, *(b[names] for b in batches)], ignore_index=True)
         keep = data["key_us"] > data["key_us"].cummax().shift(fill_value=-(1 << 62))
         state.update((data[keep].to_json(orient="split", double_precision=15),))
-        state.setTimeoutTimestamp(max(key[0].value // 1_000_000 if hasattr(key[0], "value") else int(key[1] // 1000), state.getCurrentWatermarkMs() + 1))
-        return
+        state.setTimeoutTimestamp(max(int(key[1]) // 1000, state.getCurrentWatermarkMs() + 1))
 
     g = stamped(df, cfg, delay).groupBy("period_end", "period_end_us")
     return g.applyInPandasWithState(step, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
