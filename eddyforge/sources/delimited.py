@@ -34,14 +34,20 @@ def paths(cfg: Config) -> list[str]:
     return found
 
 
-def lines(spark: SparkSession, cfg: Config) -> DataFrame:
-    """(file, lineno, value) of every line; a byte-order mark is taken off line 1."""
+def lines(spark: SparkSession, cfg: Config, quoted_newlines: bool = False) -> DataFrame:
+    """(file, lineno, value) of every line; a byte-order mark is taken off line 1.
+
+    With ``quoted_newlines`` a cell in quotes may hold line breaks; then a file can't be split, is read
+    by one task and has to be UTF-8. A record's number is that of its first line.
+    """
+    if quoted_newlines:
+        return _records(spark, cfg)
     plain = cfg.files.encoding.lower().replace("_", "-") in ("utf-8", "utf8", "utf-8-sig", "ascii", "us-ascii")
     if plain:
         raw = spark.read.text(paths(cfg))
     else:
-        raw = spark.read.schema("value string").csv(paths(cfg), encoding=cfg.files.encoding, sep="\x01", quote="", escape="\x02")
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), "value")
+        raw = spark.read.schema("value string").csv(paths(cfg), encoding=cfg.files.encoding, sep="\x01", quote="", escape="\x02", lineSep="\n")
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), F.rtrim(F.coalesce("value", F.lit("")), F.lit("\r")).alias("value"))
     blocks = raw.groupBy("file", "block").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -49,6 +55,17 @@ def lines(spark: SparkSession, cfg: Config) -> DataFrame:
     return out.withColumn("value", F.when(F.col("lineno") == 1, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value")))
 
 
+def _records(spark: SparkSession, cfg: Config) -> DataFrame:
+    q = _literal(cfg.files.quotechar)
+    record = f"((?:[^{q}\\n]++|{q}(?:[^{q}]++|{q}{q})*+{q})*+)(?:\\n|$)"
+    whole = spark.read.text(paths(cfg), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    rows = whole.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(record), F.lit(1))).alias("k", "value"))
+    before = Window.partitionBy("file").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    broken = F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit("\n")))
+    lineno = F.col("k") + 1 + F.coalesce(F.sum(broken).over(before), F.lit(0))
+    return rows.select("file", lineno.cast("long").alias("lineno"), F.rtrim("value", F.lit("\r")).alias("value"))
+
+
 def split_line(value: Column, delimiter: str, quote: str) -> Column:
     """Cells of a line: a plain split, or for lines with quotes one that honours them."""
     d, q = _literal(delimiter), _literal(quote)
@@ -73,9 +90,9 @@ def headers(rows: DataFrame, cfg: Config) -> dict[str, list[str]]:
     return {r["value"]: [c.strip() for c in reader(r["value"])] for r in found}
 
 
-def parse(spark: SparkSession, cfg: Config) -> DataFrame:
+def parse(spark: SparkSession, cfg: Config, quoted_newlines: bool = False) -> DataFrame:
     """(file, lineno, key_us, declared series..., error) of every data line; error is NULL or says what."""
-    rows = lines(spark, cfg)
+    rows = lines(spark, cfg, quoted_newlines)
     layouts = headers(rows, cfg)
     wanted = {n: getattr(cfg.variables, n) for n in SERIES if getattr(cfg.variables, n) is not None}
     tops = rows.where(F.col("lineno") == cfg.files.header_line).select("file", F.col("value").alias("header"))
@@ -130,10 +147,10 @@ def observed_rates(rows: DataFrame, cfg: Config) -> DataFrame:
     return g.select("file", "n", rate.alias("rate"), F.coalesce(F.abs(rate - f) > RATE_TOLERANCE * f, F.lit(False)).alias("off"))
 
 
-def read_samples(spark: SparkSession, cfg: Config, on_error: str = "raise") -> DataFrame:
+def read_samples(spark: SparkSession, cfg: Config, on_error: str = "raise", quoted_newlines: bool = False) -> DataFrame:
     """Cut samples of all files. ``raise`` stops at the first bad or late line, by file order and line
     number; ``quarantine`` leaves such lines to ``sample_errors`` and ``late_rows``."""
-    rows = parse(spark, cfg)
+    rows = parse(spark, cfg, quoted_newlines)
     good = rows.where("error is null").drop("error").join(file_ranks(rows), "file")
     if on_error == "raise":
         bad = rows.where("error is not null").join(file_ranks(rows), "file").orderBy("file_rank", "lineno").first()

@@ -114,6 +114,22 @@ def test_banner_lines_and_byte_order_mark(spark, tmp_path):
     assert read_samples(spark, cfg_of(tmp_path)).count() == 1
 
 
+def test_newlines_in_quotes(spark, tmp_path):
+    (tmp_path / "a.dat").write_bytes(b'\xef\xbb\xbf"TIMESTAMP","Note\nmore",Ux,Uy,Uz,Ts,CO2,H2O,Press\r\n2025-01-01 00:00:01,"a ""b""\nc",1.5,0,0,300,400,10,99000\r\n2025-01-01 00:00:02,x,bad,0,0,300,400,10,99000\r\n')
+    cfg = cfg_of(tmp_path)
+    assert [r["u"] for r in read_samples(spark, cfg, "quarantine", quoted_newlines=True).collect()] == [1.5]
+    with pytest.raises(ReadError, match="line 5: column Ux"):
+        read_samples(spark, cfg, quoted_newlines=True)
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "utf-16-le"])
+def test_other_encodings(spark, tmp_path, encoding):
+    text = HEAD.replace("Ux", "Vitesse é") + "\n" + line("2025-01-01 00:00:01", 1.5) + "\n" + line("2025-01-01 00:00:02", 2.5) + "\n"
+    (tmp_path / "a.dat").write_bytes(text.encode(encoding))
+    cfg = cfg_of(tmp_path, files__encoding={"latin-1": "ISO-8859-1", "utf-16-le": "UTF-16LE"}[encoding], variables__u="Vitesse é")
+    assert [r["u"] for r in read_samples(spark, cfg).orderBy("i").collect()] == [1.5, 2.5]
+
+
 def test_missing_column_and_no_file(spark, tmp_path):
     with pytest.raises(ReadError, match="no file matches"):
         read_samples(spark, cfg_of(tmp_path))
