@@ -26,10 +26,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/eddyforge/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a table is made: texts may be long, and a batch is held several times.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -29,6 +29,8 @@ WINDOW = 10
 SHARD_WORDS = 1_000_000
 #: Benchmark words of one broadcast block.
 BLOCK_WORDS = 200_000
+#: Posting lists handed on at once.
+ROWS = 10_000
 #: Space between two documents of a shard, above any window and slop.
 GAP = 1024
 _DELIMITERS = bytes(32 if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
@@ -74,7 +76,9 @@ class _Shard:
             offsets = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=len(self.terms))))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(self.at)[by]))
             t = len(self.terms)
-            yield batch(t, pa.array(np.full(t, shard)), pa.array(list(self.terms), pa.binary()), lists, None, None, None)
+            terms = batch(t, pa.array(np.full(t, shard)), pa.array(list(self.terms), pa.binary()), lists, None, None, None)
+            for at in range(0, t, ROWS):
+                yield terms.slice(at, ROWS)
 
 
 def build_index(spark: SparkSession, docs: DataFrame) -> DataFrame:

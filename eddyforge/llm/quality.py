@@ -35,8 +35,9 @@ FLOOR = 0.30
 STEP = 1e-3
 SYMBOLS = "#*$%&|<>"
 _TRIM = str.maketrans("", "", SYMBOLS)
-#: Characters taken at once from a long text.
-CHUNK = 1 << 20
+#: Characters taken at once from a long text; n-grams held before they are counted. Both bound memory.
+CHUNK = 1 << 18
+HELD = 1 << 20
 
 
 def _alphabet() -> np.ndarray:
@@ -130,7 +131,7 @@ def count_ngrams(docs: DataFrame, langs: list[str]) -> DataFrame:
         def flush(k: int) -> None:
             if held[k]:
                 got = np.bincount(np.concatenate(held[k]), minlength=SIZE**ORDER)
-                total[k] = total[k] + got if k in total else got
+                total.setdefault(k, np.zeros(SIZE**ORDER, np.uint32))[:] += got.astype(np.uint32)
                 held[k], size[k] = [], 0
 
         for b in batches:
@@ -139,7 +140,7 @@ def count_ngrams(docs: DataFrame, langs: list[str]) -> DataFrame:
                 for grams in ngrams(text.as_py() or ""):
                     held[k].append(grams.astype(np.int32))
                     size[k] += len(grams)
-                    if size[k] > 4 << 20:
+                    if size[k] > HELD:
                         flush(k)
         for k in list(held):
             flush(k)
