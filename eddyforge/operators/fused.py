@@ -54,7 +54,8 @@ def rotate_arrays(u: np.ndarray, v: np.ndarray, w: np.ndarray, method: str, nort
 
 
 def fused(df: DataFrame, cfg: Config) -> DataFrame:
-    """What ``despike``, ``rotate`` and ``apply_lags`` do one after the other, same columns."""
+    """What ``despike``, ``rotate`` and ``apply_lags`` do one after the other, same columns; a figure
+    of the period stands on its first sample and is NULL on the others, so that it is moved once."""
     need(df, "fused", "u", "v", "w")
     spiky = [n for n in cfg.despike.variables if n in df.columns]
     scalars = [s for s in cfg.lag.scalars if s in df.columns]
@@ -94,7 +95,8 @@ def fused(df: DataFrame, cfg: Config) -> DataFrame:
             figures |= {f"{s}_{name}": v for (name, _), v in zip(FIELDS, (applied / f, best / f, applied, best, cov, used))}
         columns = {c: table.column(c) for c in table.column_names} | {s: pa.array(v, mask=~np.isfinite(v)) for s, v in x.items()}
         for name, v in figures.items():
-            columns[name] = pa.nulls(n, kinds[name]) if isinstance(v, float) and not np.isfinite(v) else pa.repeat(pa.scalar(v, kinds[name]), n)
+            missing = isinstance(v, float) and not np.isfinite(v)
+            columns[name] = pa.concat_arrays([pa.array([None if missing else v], kinds[name]), pa.nulls(n - 1, kinds[name])])
         return pa.table([columns[c] for c in names], names=names)
 
     return df.groupBy(*keys(df)).applyInArrow(run, schema)

@@ -30,7 +30,7 @@ def summarise(df: DataFrame, cfg: Config) -> DataFrame:
     carried += [x for x in df.columns if x.startswith("n_spike_")]
     carried += [f"{s}_{n}" for s in cfg.lag.scalars for n, _ in FIELDS if f"{s}_{n}" in has]
     carried += [x for x in (f"{n}_mean" for n in cfg.detrend.variables) if x in has]
-    agg += [F.first(x).alias(x) for x in carried]
+    agg += [F.max(x).alias(x) for x in carried]  # alike on all samples, or on the first alone
     agg += [F.avg(n).alias(f"{n}_mean") for n in cfg.detrend.variables if n in has and f"{n}_mean" not in carried]
     agg += [F.avg(f"t_{q}").alias(f"{q}_mean") for q in QUANTITIES if f"t_{q}" in has and q not in cfg.detrend.variables]
     if "ta_measured" in has:
