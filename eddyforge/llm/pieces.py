@@ -9,34 +9,41 @@ edges of a word are grouped and folded with a higher-order aggregate. The fold d
   a vocabulary made by merges this one pass gives what merging pair by pair gives, where Viterbi over
   the merge ranks would not.
 
-The most frequent words of the corpus (a bounded number) are encoded once and their table is
-broadcast; every other word is encoded by the same lattice in its document. Frequencies come from
-every word of every text.
+The most frequent words of the corpus (a bounded number) are encoded once by that relational plan and
+their table is broadcast. The long tail of other words is encoded where its document is read, by the
+same lattice and fold over one word (``Encoder``), so no text is shuffled; sending the tail through
+the relational plan gave the same ids at several times the limits for time and disk. Which words
+count as frequent changes the cost and no result.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
 
 #: Words that are encoded once for all documents.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 #: Words a task counts before it passes its counts on; bounds its memory.
-HELD_WORDS = 400_000
+HELD_WORDS = 300_000
+#: Other words that a task remembers; when full, it starts anew.
+REMEMBERED = 100_000
+#: Documents of a batch taken at once.
+SLICE = 200
 #: Words of up to so many code points are folded in one machine word.
 SHORT = 62
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-_WORD = regex.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+_WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
 @dataclass(frozen=True)
@@ -72,9 +79,24 @@ def load(path: str) -> Model:
 
 
 def split_words(text: str, prefix: bool) -> list[str]:
+    """Words with their space marks; a newline is a word by itself."""
+    out: list[str] = []
     if not text:
-        return []
-    return _WORD.findall((MARK if prefix else "") + text.replace(" ", MARK))
+        return out
+    for k, line in enumerate(text.split("\n")):
+        if k:
+            out.append("\n")
+        lead = prefix and not k
+        if "  " in line or MARK in line or line.endswith(" ") or (lead and line.startswith(" ")):
+            out += _WORD.findall((MARK if lead else "") + line.replace(" ", MARK))
+            continue
+        first, *rest = line.split(" ")
+        if lead:
+            out.append(MARK + first)
+        elif first:
+            out.append(first)
+        out += [MARK + w for w in rest]
+    return out
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -173,14 +195,86 @@ def _viterbi(edges: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, back, lambda a: a["out"])
 
 
+class Encoder:
+    """The lattice and fold of one word, for words that aren't in the broadcast table."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.longest = model, model.longest
+        self.edges = {p: (-sc, i) for i, (p, sc, n) in enumerate(zip(model.pieces, model.scores, model.normal)) if n}
+        rank = {c: k for k, c in enumerate(sorted({c for c, _ in self.edges.values()}))}
+        #: Rank of every piece; -1 for what only begins a piece.
+        self.table = {p[:k]: -1 for p in self.edges for k in range(1, len(p))} | {p: rank[c] for p, (c, _) in self.edges.items()}
+        self.seen: dict[str, bytes] = {}
+
+    def __call__(self, word: str) -> bytes:
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            bounds = self._unigram(word) if self.model.kind == UNIGRAM else self._merge(word)
+            ids: list[int] = []
+            for s, e in zip(bounds, bounds[1:]):
+                edge = self.edges.get(word[s:e])
+                if edge is not None:
+                    ids.append(edge[1])
+                elif self.model.byte_ids:
+                    ids += [self.model.byte_ids[b] for b in word[s:e].encode("utf-8", "surrogatepass")]
+                else:
+                    ids.append(self.model.unknown)
+            found = self.seen[word] = array("i", ids).tobytes()
+        return found
+
+    def lattice(self, word: str, least: int) -> list[tuple[int, int, int]]:
+        """(rank, start, end) of every substring of ``least`` or more characters that is a piece."""
+        out, n, get, longest = [], len(word), self.table.get, self.longest
+        for s in range(n - least + 1):
+            for e in range(s + least, min(n, s + longest) + 1):
+                rank = get(word[s:e])
+                if rank is None:
+                    break
+                if rank >= 0:
+                    out.append((rank, s, e))
+        return out
+
+    def _merge(self, word: str) -> list[int]:
+        n = len(word)
+        state = (1 << (n + 1)) - 1
+        for _, s, e in sorted(self.lattice(word, 2)):
+            if state >> s & 1 and state >> e & 1:
+                inner = (1 << e) - (2 << s)
+                if (state & inner).bit_count() == 1:
+                    state &= ~inner
+        return [p for p in range(n + 1) if state >> p & 1]
+
+    def _unigram(self, word: str) -> list[int]:
+        n = len(word)
+        best: list[tuple[float, int]] = [(0.0, -1)] + [(float("inf"), -1)] * n
+        edges = {(e, s): min(self.edges[word[s:e]][0], 1e9) for _, s, e in self.lattice(word, 1)}
+        for s in range(n):
+            edges.setdefault((s + 1, s), 1e9)
+        for (e, s), c in sorted(edges.items()):
+            if best[s][0] + c < best[e][0]:
+                best[e] = (best[s][0] + c, s)
+        bounds, at = [n], n
+        while at > 0:
+            at = best[at][1]
+            bounds.append(at)
+        return bounds[::-1]
+
+
 def word_counts(docs: DataFrame, prefix: bool) -> DataFrame:
-    """(word, n) over every word of every text."""
+    """(word, n) for words that occur more than once in what some task counted together.
+
+    Counts are lower bounds: a task keeps what it saw once to itself. They choose the broadcast
+    table and nothing else.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            words = [w for w, n in held.items() if n > 1]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())], names=["word", "n"])
             held.clear()
             return out
 
@@ -226,49 +320,31 @@ def encode(spark: SparkSession, docs: DataFrame, model: Model, frequent: int = F
     """Per document: doc_id, ids, n_tokens, n_words, round_trip (decoding the ids gives the text).
 
     A null or empty text has no ids. ``round_trip`` is false only for texts that hold the space mark
-    itself, which a decoder can't tell from a space. Rows of one doc_id with the same text are
-    encoded alike; repeated rows give repeated result rows.
+    itself, which a decoder can't tell from a space. Repeated rows give repeated result rows.
     """
     common = spark.sparkContext.broadcast(frequent_words(spark, docs, model, frequent))
     table = byte_table(model)
     prefix = model.prefix
+    names = [x.split()[0] for x in OUT.split(", ")]
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
-        for b in batches:
-            ids, hashes, words = [], [], []
-            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                new = {w for w in split_words(t.as_py() or "", prefix) if w not in known}
-                ids += [i] * len(new)
-                hashes += [h] * len(new)
-                words += new
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(words, pa.string())], names=["rid", "rth", "word"])
-
-    d = pick(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
-    rare = d.mapInArrow(others, "rid long, rth long, word string").repartition("rid", "rth").dropDuplicates(["rid", "rth", "word"])
-    rare = encode_words(spark, rare, model, ("rid", "rth"))
-    rare = rare.groupBy("rid", "rth").agg(F.collect_list("word").alias("words"), F.collect_list("ids").alias("lists"))
-    joined = d.join(rare, d["id"].eqNullSafe(rare["rid"]) & (d["th"] == rare["rth"]), "left").select("id", "text", "words", "lists")
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, other = common.value, Encoder(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
                 out, n_words, same = [], [], []
-                for t, words, lists in zip(b.column(1), b.column(2), b.column(3)):
+                for t in b.column(1):
                     text = t.as_py() or ""
-                    own = {w: np.asarray(x, "<i4").tobytes() for w, x in zip(words.as_py(), lists.as_py())} if words.is_valid else {}
                     tokens = split_words(text, prefix)
-                    ids = np.frombuffer(b"".join([known.get(w) or own[w] for w in tokens]), "<i4")
+                    ids = np.frombuffer(b"".join([known.get(w) or other(w) for w in tokens]), "<i4")
                     out.append(ids)
                     n_words.append(len(tokens))
                     same.append(decode_ids(ids, table, prefix) == text)
                 sizes = np.array([len(x) for x in out], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, "<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes), pa.array(n_words, pa.int64()), pa.array(same, pa.bool_())], names=[x.split()[0] for x in OUT.split(", ")])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(out)))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes), pa.array(n_words, pa.int64()), pa.array(same, pa.bool_())], names=names)
 
-    return joined.mapInArrow(apply, OUT)
+    return pick(docs, "doc_id", "text").mapInArrow(run, OUT)
 
 
 def decode(rows: DataFrame, model: Model) -> DataFrame:
