@@ -102,16 +102,20 @@ def held_out() -> Column:
 def training_sample(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> DataFrame:
     """Bounded rows (lang, cells) to learn from. The rank's limit is applied before its shuffle."""
     rows = pick(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    rows = rows.withColumn("at", F.struct(F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")))
     langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    few = rows.join(F.broadcast(langs.select("lang")), "lang").withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_lang)
+    # The rank moves hashes only, at most per_lang a language from each task; texts are read for the few.
+    by = Window.partitionBy("lang").orderBy("at")
+    few = rows.select("lang", "at").withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_lang)
+    last = few.groupBy("lang").agg(F.max("at").alias("last")).join(F.broadcast(langs.select("lang")), "lang")
+    few = rows.join(F.broadcast(last), "lang").where(F.col("at") <= F.col("last")).withColumn("k", F.col("at.col1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cells = [presence(t.as_py()).tolist() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cells, pa.list_(pa.int32()))], names=["lang", "k", "cells"])
 
-    return few.select("lang", "text", "k").mapInArrow(run, "lang string, k int, cells array<int>")
+    return few.select("lang", "text", "k").mapInArrow(run, "lang string, k long, cells array<int>")
 
 
 def identify(spark: SparkSession, docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> DataFrame:
