@@ -184,20 +184,31 @@ def find_lag(curves: DataFrame, window: Window, method: str) -> DataFrame:
 
 
 def _native(df: DataFrame, cfg: Config, scalars: list[str]) -> DataFrame:
-    by, f = keys(df), cfg.period.acquisition_frequency
-    for s in scalars:
+    by, f, out = keys(df), cfg.period.acquisition_frequency, df
+    for s in scalars:  # every curve is of the frame as it came, so the plan grows by one branch each
         window = cfg.lags[s]
         found = find_lag(lag_curve(df, s, window.low, window.high), window, cfg.lag.method)
         found = found.select(*by, (F.col("applied") / f).alias(f"{s}_lag"), (F.col("best") / f).alias(f"{s}_lag_opt"), F.col("applied").cast("long").alias(f"{s}_lag_samples"), F.col("best").cast("long").alias(f"{s}_lag_opt_samples"), F.col("cov").alias(f"{s}_lag_cov"), F.col("default_used").alias(f"{s}_lag_default_used"))
-        joined = df.join(found, by, "left")
         none = {f"{s}_lag": window.nominal / f, f"{s}_lag_opt": window.nominal / f, f"{s}_lag_samples": window.nominal, f"{s}_lag_opt_samples": window.nominal, f"{s}_lag_default_used": True}
-        joined = joined.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in none.items()})
-        df = shift_by(joined, s, f"{s}_lag_samples")
-    return df
+        out = out.join(found, by, "left").withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in none.items()})
+    return shift_by(out, {s: f"{s}_lag_samples" for s in scalars})
 
 
-def shift_by(df: DataFrame, scalar: str, lag: str) -> DataFrame:
-    """scalar[i + lag] with a lag that differs by period, missing off the end."""
-    by = keys(df)
-    moved = df.select(*by, (F.col(INDEX) - F.col(lag)).cast("long").alias(INDEX), F.col(scalar).alias("__moved"))
-    return df.join(moved, [*by, INDEX], "left").withColumn(scalar, F.col("__moved")).drop("__moved")
+def shift_by(df: DataFrame, lags: dict[str, str]) -> DataFrame:
+    """Each scalar as scalar[i + lag], with a column's lag that differs by period; missing off the end.
+
+    A regrouping by target index in place of a self-join for each scalar: every row goes to its own
+    index with all but the scalars, and to the index that each scalar's lag points at with that one.
+    """
+    by, names = keys(df), list(lags)
+    targets = [F.struct(F.col(INDEX).alias("to"), F.lit(-1).alias("of"))]
+    targets += [F.struct((F.col(INDEX) - F.col(lags[s])).cast("long").alias("to"), F.lit(k).alias("of")) for k, s in enumerate(names)]
+    sent = df.select("*", F.explode(F.array(*targets)).alias("__t"))
+    own = F.col("__t.of") == -1
+    rest = [c for c in df.columns if c not in by and c not in names and c != INDEX]
+    g = sent.groupBy(*by, F.col("__t.to").alias("__to")).agg(
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in rest],
+        *[F.max(F.when(F.col("__t.of") == k, F.col(s))).alias(s) for k, s in enumerate(names)],
+        F.count_if(own).alias("__own"),
+    )
+    return g.where("__own > 0").withColumnRenamed("__to", INDEX).select(*df.columns)

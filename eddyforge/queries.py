@@ -19,10 +19,10 @@ from .operators import samples as S
 from .operators.lag import apply_lags, find_lag, lag_curve
 from .operators.moments import summarise
 from .operators.thermo import QUANTITIES, thermodynamics
-from .plans import cut_periods, first_periods, publish, run, summary
+from .plans import cut_periods, first_periods, late_rows, publish, run, summary
 from .queries_sql import DIGITS, ORACLES
 from .schema import COLUMNS
-from .sources import event_samples, parse_timestamp
+from .sources import event_samples, parse_timestamp, to_dataframe
 from .sources.events import event_rows
 
 _LAG = {f"lag__{g}_{k}": v for g in ("co2", "h2o") for k, v in (("min_s", -8), ("max_s", 8))}
@@ -296,6 +296,32 @@ def run_summary(spark, d):
     return summary(period_rows(spark, d, SPECTRAL))
 
 
+def flux_table_native(spark, d):
+    """The table by window functions and joins alone, without a Python worker."""
+    return _published(publish(run(samples(spark, d), DRY, "native"), DRY), {n: s for n, s, _ in COLUMNS})
+
+
+def lag_shift_native(spark, d):
+    return apply_lags(before_lag(spark, d), DRY, "native").select("event_id", F.col("co2_lag_samples"), F.round(F.col("co2") * 1e6, 6).alias("co2"))
+
+
+def late_samples(spark, d):
+    """Events dealt into three files, so that files overlap in time: what a stream would refuse."""
+    e = event_rows(spark, d).select("event_id", "key_us", (F.col("event_id") % 3).cast("int").alias("file_rank"), F.col("event_id").alias("lineno"))
+    return late_rows(e, DRY).select("event_id", "file_rank", "period_end_us")
+
+
+def sample_times(spark, d):
+    """The time coordinate rebuilt from the index: period start + i / frequency."""
+    return to_dataframe(samples(spark, d), DRY).select("event_id", "i", "time")
+
+
+def rotation_check(spark, d):
+    """How far the rotated mean wind is from lying along u."""
+    r = S.rotation_residuals(S.rotate(samples(spark, d), DRY))
+    return r.select("period_end_us", (F.col("v_residual") < 1e-9).alias("v_ok"), (F.col("w_residual") < 1e-3).alias("w_ok"))
+
+
 def ieee_division(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id")
     q = fn.ieee_div((F.col("event_id") % 3 - 1).cast("double"), (F.col("event_id") % 5 - 2).cast("double"))
@@ -322,7 +348,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         period_cut_right, period_cut_left, monotone_dedupe, min_samples_filter, absent_column_fill, unit_affine, na_token_parse, timestamp_iso_parse, timestamp_numeric_parse,
         finite_counts, nan_means, medians, mad, variances, covariances, joint_counts, friction_velocity, despike_counts, despike_series, despike_trailing_run, wind_vector,
         double_rotation, lag_curve_co2, lag_select, lag_shift, linear_detrend, cell_conversion, thermo_state, thermo_density, thermo_scalars, flux_assembly, obukhov, wpl_open_path,
-        wpl_off_withheld, spectral_factor, steady_state, itc, flux_table, flux_table_closed_path, first_three_periods, run_summary, ieee_division, csv_roundtrip, streaming_periods,
+        wpl_off_withheld, spectral_factor, steady_state, itc, flux_table, flux_table_closed_path, first_three_periods, run_summary, flux_table_native, lag_shift_native, late_samples, sample_times,
+        rotation_check, ieee_division, csv_roundtrip, streaming_periods,
     )
 }
 

@@ -225,6 +225,14 @@ ORACLES: dict[str, str] = {
     "flux_table_closed_path": w(periods(cell=True), f"SELECT {table()} FROM pr"),
     "first_three_periods": w(chain(), f"SELECT {P}, count(*) AS n FROM smp GROUP BY {P} ORDER BY {P} LIMIT 3"),
     "run_summary": w(periods(spectral=True), "SELECT count(*) AS periods, sum(n_in)::BIGINT AS samples, 0::BIGINT AS duplicates, count_if(scf_co2 > 2 OR scf_h2o > 2) AS warnings FROM pr"),
+    "flux_table_native": w(periods(), f"SELECT {table()} FROM pr"),
+    "lag_shift_native": w(chain(), "SELECT event_id, lc AS co2_lag_samples, round(co2 * 1e6, 6) AS co2 FROM sh"),
+    "late_samples": w(
+        chain(),
+        f"""SELECT event_id, (event_id % 3)::INT AS file_rank, {P} FROM (SELECT *, max({P}) OVER (ORDER BY event_id % 3, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM smp) WHERE {P} < seen""",
+    ),
+    "sample_times": w(chain(), f"SELECT event_id, i, make_timestamp({P} - {DAY} + i * 1000000) AS time FROM smp"),
+    "rotation_check": w(chain(), f"SELECT {P}, true AS v_ok, true AS w_ok FROM smp GROUP BY {P}"),
     "ieee_division": "SELECT event_id, CASE WHEN b = 0 AND a = 0 THEN 'nan' WHEN b = 0 AND a > 0 THEN 'inf' WHEN b = 0 THEN '-inf' ELSE round(a / b, 6)::DECIMAL(10,6)::VARCHAR END AS q FROM (SELECT event_id, (event_id % 3 - 1)::DOUBLE AS a, (event_id % 5 - 2)::DOUBLE AS b FROM events)",
     "csv_roundtrip": w(chain(), f"SELECT {P}, count(*) AS n_in, 0::BIGINT AS n_dup, round(avg(u), 6) AS u_mean, count(h2o) AS n_h2o FROM smp GROUP BY {P}"),
     "streaming_periods": w(chain(), f"SELECT {P}, count(*) AS n, round(avg(2e0 - 0.56e0 * g), 6) AS u_mean, round(covar_samp(2e0 - 0.56e0 * g, 0.05e0 + 0.7e0 * g), 6) AS cov_u_w FROM e1 GROUP BY {P}"),
