@@ -36,12 +36,13 @@ FREQUENT = 1 << 18
 #: Words a task counts before it passes its counts on; bounds its memory.
 HELD_WORDS = 300_000
 #: Other words that a task remembers; when full, it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Documents of a batch taken at once.
 SLICE = 200
 #: Words of up to so many code points are folded in one machine word.
 SHORT = 62
-MARK = "▁"
+MARK, NUL = "▁", "\0"
+NEWLINE = NUL + "\n"
 UNIGRAM, BPE = 1, 2
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
@@ -80,22 +81,37 @@ def load(path: str) -> Model:
 
 def split_words(text: str, prefix: bool) -> list[str]:
     """Words with their space marks; a newline is a word by itself."""
+    return [word_of(k) for k in split_keys(text, prefix)]
+
+
+def key_of(word: str) -> str:
+    """Nearly every word has one space mark in front; its key is the word without it. Keys of all other
+    words begin with a NUL, so no two words share a key."""
+    return word[1:] if len(word) > 1 and word[0] == MARK and word[1] not in (MARK, NUL) else NUL + word
+
+
+def word_of(key: str) -> str:
+    return key[1:] if key[0] == NUL else MARK + key
+
+
+def split_keys(text: str, prefix: bool) -> list[str]:
+    """Keys of the text's words, in order."""
     out: list[str] = []
     if not text:
         return out
     for k, line in enumerate(text.split("\n")):
         if k:
-            out.append("\n")
+            out.append(NEWLINE)
         lead = prefix and not k
-        if "  " in line or MARK in line or line.endswith(" ") or (lead and line.startswith(" ")):
-            out += _WORD.findall((MARK if lead else "") + line.replace(" ", MARK))
-            continue
-        first, *rest = line.split(" ")
-        if lead:
-            out.append(MARK + first)
-        elif first:
-            out.append(first)
-        out += [MARK + w for w in rest]
+        if "  " in line or MARK in line or NUL in line or line.endswith(" ") or (lead and line[:1] in ("", " ")):
+            out += map(key_of, _WORD.findall((MARK if lead else "") + line.replace(" ", MARK)))
+        elif lead:
+            out += line.split(" ")
+        elif line:
+            first, *rest = line.split(" ")
+            if first:
+                out.append(NUL + first)
+            out += rest
     return out
 
 
@@ -202,64 +218,92 @@ class Encoder:
         self.model, self.longest = model, model.longest
         self.edges = {p: (-sc, i) for i, (p, sc, n) in enumerate(zip(model.pieces, model.scores, model.normal)) if n}
         rank = {c: k for k, c in enumerate(sorted({c for c, _ in self.edges.values()}))}
-        #: Rank of every piece; -1 for what only begins a piece.
-        self.table = {p[:k]: -1 for p in self.edges for k in range(1, len(p))} | {p: rank[c] for p, (c, _) in self.edges.items()}
+        #: Pieces as a tree: a node is [children by character, rank or None, id].
+        self.tree: list = [{}, None, -1]
+        for p, (c, i) in self.edges.items():
+            node = self.tree
+            for ch in p:
+                node = node[0].setdefault(ch, [{}, None, -1])
+            node[1:] = rank[c], i
         self.seen: dict[str, bytes] = {}
 
-    def __call__(self, word: str) -> bytes:
-        found = self.seen.get(word)
+    def __call__(self, key: str) -> bytes:
+        """Ids of the word of a key, as little-endian 32-bit bytes."""
+        found = self.seen.get(key)
         if found is None:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            bounds = self._unigram(word) if self.model.kind == UNIGRAM else self._merge(word)
-            ids: list[int] = []
-            for s, e in zip(bounds, bounds[1:]):
-                edge = self.edges.get(word[s:e])
-                if edge is not None:
-                    ids.append(edge[1])
-                elif self.model.byte_ids:
-                    ids += [self.model.byte_ids[b] for b in word[s:e].encode("utf-8", "surrogatepass")]
-                else:
-                    ids.append(self.model.unknown)
-            found = self.seen[word] = array("i", ids).tobytes()
+            word = word_of(key)
+            found = self.seen[key] = array("i", self._unigram(word) if self.model.kind == UNIGRAM else self._merge(word)).tobytes()
         return found
 
-    def lattice(self, word: str, least: int) -> list[tuple[int, int, int]]:
-        """(rank, start, end) of every substring of ``least`` or more characters that is a piece."""
-        out, n, get, longest = [], len(word), self.table.get, self.longest
-        for s in range(n - least + 1):
-            for e in range(s + least, min(n, s + longest) + 1):
-                rank = get(word[s:e])
-                if rank is None:
+    def lattice(self, word: str) -> list[tuple[int, int, int, int]]:
+        """(rank, start, end, id) of every substring that is a piece."""
+        out, top, longest = [], self.tree[0], self.longest
+        for s in range(len(word)):
+            below, e = top, s
+            for ch in word[s : s + longest]:
+                node = below.get(ch)
+                if node is None:
                     break
-                if rank >= 0:
-                    out.append((rank, s, e))
+                below, rank, i = node
+                e += 1
+                if rank is not None:
+                    out.append((rank, s, e, i))
         return out
 
+    def _character(self, ch: str) -> list[int]:
+        """A character that is no piece: its bytes, or the unknown id."""
+        if self.model.byte_ids:
+            return [self.model.byte_ids[b] for b in ch.encode("utf-8", "surrogatepass")]
+        return [self.model.unknown]
+
     def _merge(self, word: str) -> list[int]:
-        n = len(word)
-        state = (1 << (n + 1)) - 1
-        for _, s, e in sorted(self.lattice(word, 2)):
-            if state >> s & 1 and state >> e & 1:
-                inner = (1 << e) - (2 << s)
-                if (state & inner).bit_count() == 1:
-                    state &= ~inner
-        return [p for p in range(n + 1) if state >> p & 1]
+        n, longest, top = len(word), self.longest, self.tree[0]
+        ids, edges = [-1] * n, []
+        for s in range(n):  # the lattice, with single characters set apart: they are no merges
+            below, e = top, s
+            for ch in word[s : s + longest]:
+                node = below.get(ch)
+                if node is None:
+                    break
+                below, rank, i = node
+                e += 1
+                if rank is not None:
+                    if e - s > 1:
+                        edges.append((rank, s, e, i))
+                    else:
+                        ids[s] = i
+        edges.sort()
+        after = list(range(1, n + 1))  # where the symbol that starts here ends; 0 if none starts
+        for _, s, e, i in edges:
+            m = after[s]
+            if 0 < m < e and after[m] == e:
+                after[s], after[m], ids[s] = e, 0, i
+        out, at = [], 0
+        while at < n:
+            if ids[at] >= 0:
+                out.append(ids[at])
+            else:
+                out += self._character(word[at])
+            at = after[at]
+        return out
 
     def _unigram(self, word: str) -> list[int]:
         n = len(word)
-        best: list[tuple[float, int]] = [(0.0, -1)] + [(float("inf"), -1)] * n
-        edges = {(e, s): min(self.edges[word[s:e]][0], 1e9) for _, s, e in self.lattice(word, 1)}
+        best: list[tuple[float, int, int]] = [(0.0, -1, -1)] + [(float("inf"), -1, -1)] * n
+        edges = {(e, s): (min(self.edges[word[s:e]][0], 1e9), i) for _, s, e, i in self.lattice(word)}
         for s in range(n):
-            edges.setdefault((s + 1, s), 1e9)
-        for (e, s), c in sorted(edges.items()):
+            edges.setdefault((s + 1, s), (1e9, -1))
+        for (e, s), (c, i) in sorted(edges.items()):
             if best[s][0] + c < best[e][0]:
-                best[e] = (best[s][0] + c, s)
-        bounds, at = [n], n
+                best[e] = (best[s][0] + c, s, i)
+        path, at = [], n
         while at > 0:
-            at = best[at][1]
-            bounds.append(at)
-        return bounds[::-1]
+            _, s, i = best[at]
+            path.append([i] if i >= 0 else self._character(word[s]))
+            at = s
+        return [i for ids in reversed(path) for i in ids]
 
 
 def word_counts(docs: DataFrame, prefix: bool) -> DataFrame:
@@ -273,14 +317,14 @@ def word_counts(docs: DataFrame, prefix: bool) -> DataFrame:
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            words = [w for w, n in held.items() if n > 1]
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())], names=["word", "n"])
+            keys = [k for k, n in held.items() if n > 1]
+            out = pa.RecordBatch.from_arrays([pa.array(map(word_of, keys), pa.string()), pa.array([held[k] for k in keys], pa.int64())], names=["word", "n"])
             held.clear()
             return out
 
         for b in batches:
             for t in b.column(0):
-                held.update(split_words(t.as_py() or "", prefix))
+                held.update(split_keys(t.as_py() or "", prefix))
                 if len(held) > HELD_WORDS:
                     yield flush()
         yield flush()
@@ -289,14 +333,14 @@ def word_counts(docs: DataFrame, prefix: bool) -> DataFrame:
 
 
 def frequent_words(spark: SparkSession, docs: DataFrame, model: Model, most: int) -> dict[str, bytes]:
-    """The ``most`` commonest words (ties by word) and their ids as little-endian 32-bit bytes."""
+    """Keys of the ``most`` commonest words (ties by word) and their ids as little-endian 32-bit bytes."""
     top = word_counts(docs, model.prefix).orderBy(F.desc("n"), "word").limit(most).select("word")
     top = materialize(spark, top, "frequent")
     table = encode_words(spark, top.repartition("word"), model).toArrow()
     words, lists = table.column("word").combine_chunks(), table.column("ids").combine_chunks()
     ids = np.asarray(lists.values, "<i4").tobytes()
     edge = np.asarray(lists.offsets).tolist()
-    return {w: ids[4 * a : 4 * b] for w, a, b in zip(words.to_pylist(), edge, edge[1:])}
+    return {key_of(w): ids[4 * a : 4 * b] for w, a, b in zip(words.to_pylist(), edge, edge[1:])}
 
 
 def decode_ids(ids: np.ndarray, table: list[bytes], prefix: bool) -> str:
@@ -328,15 +372,15 @@ def encode(spark: SparkSession, docs: DataFrame, model: Model, frequent: int = F
     names = [x.split()[0] for x in OUT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, other = common.value, Encoder(model)
+        get, other = common.value.get, Encoder(model)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
                 out, n_words, same = [], [], []
                 for t in b.column(1):
                     text = t.as_py() or ""
-                    tokens = split_words(text, prefix)
-                    ids = np.frombuffer(b"".join([known.get(w) or other(w) for w in tokens]), "<i4")
+                    tokens = split_keys(text, prefix)
+                    ids = np.frombuffer(b"".join([get(k) or other(k) for k in tokens]), "<i4")
                     out.append(ids)
                     n_words.append(len(tokens))
                     same.append(decode_ids(ids, table, prefix) == text)
