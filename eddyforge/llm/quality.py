@@ -19,8 +19,9 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, pick
 
@@ -28,9 +29,10 @@ ORDER = 4
 SIZE = 40
 #: Languages with a model of their own, by number of documents; the others and null share one.
 MAX_LANGS = 15
-#: Band: median +- max(WIDTH * 1.4826 * MAD, FLOOR), in nats a character.
+#: Band: median +- max(WIDTH * 1.4826 * MAD, FLOOR), in nats a character; a floor of 1 is a factor of e
+#: either way, which short and mislabelled but clean texts stay within.
 WIDTH = 8.0
-FLOOR = 0.30
+FLOOR = 1.0
 #: Steps of the histogram of log-perplexity.
 STEP = 1e-3
 SYMBOLS = "#*$%&|<>"
@@ -167,7 +169,10 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         levels.append(np.unique(levels[-1][0] % SIZE**order, return_counts=True))
     p = np.full(SIZE, 1.0 / SIZE)
     for order, (g, c) in enumerate(reversed(levels), 1):
-        d = discounts(c)[np.minimum(c, 3)]
+        by_count = discounts(c)
+        if order > 1:  # what is seen once may be the scored text's own: all its mass goes to shorter contexts
+            by_count[1] = 1.0
+        d = by_count[np.minimum(c, 3)]
         context = g // SIZE
         total = np.bincount(context, c, minlength=SIZE ** (order - 1))
         left = np.bincount(context, d, minlength=SIZE ** (order - 1))
@@ -192,37 +197,49 @@ def train(spark: SparkSession, docs: DataFrame, langs: list[str]) -> dict[int, t
     return out
 
 
-SCORES = "doc_id long, text_hash long, lang_no int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
+SCORES = "lang_no int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
 
 
 def score(spark: SparkSession, docs: DataFrame, langs: list[str], model: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Rule counts and mean -ln P a character of every whole text (null where there is none)."""
+    """The rows of ``docs``, all columns, with rule counts and the mean -ln P a character of every
+    whole text (null where there is none) as further columns named ``__q_...``."""
     number = {x: i for i, x in enumerate(langs)}
     shared = spark.sparkContext.broadcast(model)
-    names = [x.split()[0] for x in SCORES.split(", ")]
+    fields = T.StructType([T.StructField(f"__q_{f.name}", f.dataType) for f in T.StructType.fromDDL(SCORES).fields])
+    schema = T.StructType([*docs.schema.fields, *fields.fields])
+    at_lang, at_text = docs.columns.index("lang"), docs.columns.index("text")
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
         for b in batches:
             rows = []
-            for lang, text in zip(b.column(1).to_pylist(), b.column(2)):
+            for lang, text in zip(b.column(at_lang).to_pylist(), b.column(at_text)):
                 text = text.as_py()
                 k = number.get(lang, -1)
                 if k not in tables:
                     tables[k] = log_probabilities(*shared.value[k]).astype(np.float32) if k in shared.value else np.zeros(SIZE**ORDER, np.float32)
                 total = sum(float(tables[k][g].sum(dtype=np.float64)) for g in ngrams(text or ""))
                 rows.append((k, *base_counts(text), total / len(text) if text else None))
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int32(), *[pa.int64()] * 5, pa.float64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=names)
+            cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=schema.names)
 
-    return pick(docs, "doc_id", "lang", "text").withColumn("h", F.xxhash64("text")).mapInArrow(run, SCORES)
+    return docs.mapInArrow(run, schema)
+
+
+def judged(spark: SparkSession, scored: DataFrame, width: float, floor: float) -> DataFrame:
+    """Scored rows with __q_base_failed, __q_kept, __q_lower, __q_upper."""
+    limits = bands(scored, width, floor)
+    table = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in limits.items()], "__q_lang_no int, __q_lower double, __q_upper double")
+    out = scored.join(F.broadcast(table), "__q_lang_no", "left").withColumn("__q_base_failed", base_failed())
+    inside = F.coalesce(F.col("__q_log_ppl").between(F.col("__q_lower"), F.col("__q_upper")), F.lit(True))
+    return out.withColumn("__q_kept", ~F.col("__q_base_failed") & inside)
 
 
 def bands(scored: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> dict[int, tuple[float, float]]:
     """Lower and upper log-perplexity by language number, from an exact histogram of all scores."""
-    ok = scored.where("log_ppl is not null").where(~base_failed())
-    hist = ok.groupBy("lang_no", F.round(F.col("log_ppl") / STEP).cast("int").alias("bin")).count().collect()  # bounded: -ln P lies in 0..28
+    ok = scored.where("__q_log_ppl is not null").where(~base_failed())
+    hist = ok.groupBy(F.col("__q_lang_no").alias("lang_no"), F.round(F.col("__q_log_ppl") / STEP).cast("int").alias("bin")).count().collect()  # bounded: -ln P lies in 0..28
     by: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for r in hist:
         by[r["lang_no"]].append((r["bin"], r["count"]))
@@ -241,30 +258,28 @@ def _median(at: np.ndarray, n: np.ndarray) -> float:
     return at[np.searchsorted(np.cumsum(n), (n.sum() + 1) // 2)]
 
 
-def base_failed():
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed() -> Column:
+    return (F.col("__q_n_words") < 50) | (100 * F.col("__q_n_repeat_words") > 50 * F.col("__q_n_words"))
 
 
 def assess(spark: SparkSession, docs: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, log_ppl, lower, upper, text_hash.
+    kept, log_ppl, lower, upper.
 
     Null and empty texts have no words and fail. A null or rare language uses the shared model.
     Repeated rows give repeated result rows; an empty table gives none.
     """
     langs = language_groups(docs)
-    scored = materialize(spark, score(spark, docs, langs, train(spark, docs, langs)), "quality")
-    limits = bands(scored, width, floor)
-    table = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in limits.items()], "lang_no int, lower double, upper double")
-    out = scored.join(F.broadcast(table), "lang_no", "left").withColumn("base_failed", base_failed())
-    inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "lower", "upper", "text_hash")
+    narrow = pick(docs, "doc_id", "lang", "text")
+    scored = score(spark, narrow, langs, train(spark, docs, langs)).drop("lang", "text")
+    out = judged(spark, materialize(spark, scored, "quality"), width, floor)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "lower", "upper")
+    return out.select("doc_id", *[F.col(f"__q_{n}").alias(n) for n in names])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that ``assess`` keeps, all columns; rejected rows are found by id and text hash."""
-    columns = docs.columns
-    bad = assess(spark, docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    bad = materialize(spark, bad, "quality-bad")
-    same = docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__hash"])
-    return docs.join(bad, same, "left_anti").select(*[docs[c] for c in columns])
+    """The rows that ``assess`` keeps, all columns. Rows are written once with their scores and then
+    filtered, so that no text is shuffled."""
+    langs = language_groups(docs)
+    scored = materialize(spark, score(spark, docs, langs, train(spark, docs, langs)), "quality-docs")
+    return judged(spark, scored, WIDTH, FLOOR).where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

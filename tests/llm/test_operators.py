@@ -272,7 +272,7 @@ def test_relational_lattice_equals_the_library_and_the_encoder(spark, model, lib
     own = pieces.Encoder(model)
     assert set(got) == set(words)
     for w in words:
-        assert got[w] == np.frombuffer(own(w), "<i4").tolist()
+        assert got[w] == np.frombuffer(own(pieces.key_of(w)), "<i4").tolist()
         if w[0] == "▁" and "▁" not in w[1:] and len(w) > 1:
             assert got[w] == library.encode(w[1:])
 
@@ -301,7 +301,7 @@ def test_viterbi_finds_the_cheapest_path(spark, model):
 
     for r in table(pieces.encode_words(spark, spark.createDataFrame([(w,) for w in words], "word string"), uni)):
         assert "".join(model.pieces[i] for i in r["ids"]) == r["word"]
-        assert cost(r["ids"]) == pytest.approx(best(r["word"])) == pytest.approx(cost(np.frombuffer(own(r["word"]), "<i4").tolist()))
+        assert cost(r["ids"]) == pytest.approx(best(r["word"])) == pytest.approx(cost(np.frombuffer(own(pieces.key_of(r["word"])), "<i4").tolist()))
         assert cost(r["ids"]) >= cost(sp.encode(r["word"][1:])) - 1e-6
 
 
@@ -368,10 +368,12 @@ def test_ngrams_do_not_depend_on_pieces(monkeypatch):
 
 def test_assess_and_keep(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    junk = spark.createDataFrame([(10**6, " ".join(f"{'#*$%'[i % 4]}{i * 7919 % 9973:x}~^`" for i in range(300)), "en", "s", 1), (10**6 + 1, None, "en", "s", 1), (None, "a b " * 200, "xx", "s", 1)], docs.schema)
+    noise = random.Random(1)
+    text = " ".join("".join(noise.choice("qxzjkvwQXZ79#~éß日") for _ in range(9)) for _ in range(60))
+    junk = spark.createDataFrame([(10**6, text, "en", "s", 1), (10**6 + 1, None, "en", "s", 1), (None, "a b " * 200, "xx", "s", 1)], docs.schema)
     both = docs.unionByName(junk)
     got = {r["doc_id"]: r for r in table(quality.assess(spark, both))}
-    assert not got[10**6]["kept"] and not got[10**6]["base_failed"] and not got[10**6]["lower"] <= got[10**6]["log_ppl"] <= got[10**6]["upper"]
+    assert not got[10**6]["kept"] and not got[10**6]["base_failed"] and got[10**6]["log_ppl"] > got[10**6]["upper"]
     assert got[10**6 + 1]["base_failed"] and got[None]["base_failed"]
     kept = {r["doc_id"] for r in table(quality.keep_good(spark, both))}
     assert kept == {i for i, r in got.items() if r["kept"]}
