@@ -125,7 +125,7 @@ p1 AS (SELECT period_end_us, any_value(n_in) AS n_in, 0::BIGINT AS n_dup, {every
 p2 AS (SELECT *, sqrt(um * um + vm * vm) AS wind_speed, (180e0 - degrees(atan2(vm, um)) + 720e0) % 360e0 AS wind_dir, pow(cov_u_w * cov_u_w + cov_v_w * cov_v_w, 0.25e0) AS ustar,
   1e6 * co2m {scale} AS co2_dry_ppm, 1e3 * h2om {scale} AS h2o_dry_ppt, {f} AS f_co2, cov_w_co2 * ({f}) AS fc_l0, cov_w_h2o * ({f}) AS fh2o_l0, cov_w_h2o * ({f}) * {K.MV} AS e_l0,
   cov_w_h2o * ({f}) * {K.MV} * lambda_v_mean AS le_l0, cov_w_ts * rho_m_mean * cp_mean AS h_l0, ts_mean * pow(1e5 / p_air_mean, 0.286e0) AS theta_s,
-  100e0 * abs(((c0 + c1 + c2 + c3 + c4) / 5e0 - cov_w_co2) / cov_w_co2) AS sst_pct FROM p1),
+  100e0 * abs((list_avg([c0, c1, c2, c3, c4]) - cov_w_co2) / cov_w_co2) AS sst_pct FROM p1),
 p3 AS (SELECT *, (h_l0 - 0.51e0 * cp_mean * ta_mean * e_l0) / (1e0 + 0.51e0 * q_mean) AS h, -(theta_s * pow(ustar, 3e0)) / (0.4e0 * 9.81e0 * cov_w_ts) AS mo_length,
   {z!r}::DOUBLE / (-(theta_s * pow(ustar, 3e0)) / (0.4e0 * 9.81e0 * cov_w_ts)) AS z_l, CASE WHEN sst_pct <= 30 THEN 0 WHEN sst_pct <= 100 THEN 1 ELSE 2 END AS sst_flag FROM p2),
 p4 AS (SELECT *, {w} FROM {ws}),
