@@ -8,6 +8,8 @@ import sys
 from .config import describe, load
 from .errors import ConfigError, ReadError
 
+#: Generated methods above 8000 bytes are never compiled by the JVM; Spark then runs them expression by expression.
+HUGE = "spark.sql.codegen.hugeMethodLimit"
 #: Exit codes: done, a configuration that is refused, input that can't be read, anything else.
 OK, BAD_CONFIG, BAD_INPUT, FAILED = 0, 2, 3, 1
 
@@ -42,7 +44,7 @@ def execute(args: argparse.Namespace) -> int:
     cfg = load(args.config)
     for w in cfg.warnings:
         print(f"warning: {w}", file=sys.stderr)
-    spark = SparkSession.builder.appName("eddyforge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("eddyforge").config("spark.sql.session.timeZone", "UTC").config(HUGE, "8000").getOrCreate()
     periods = run(read_samples(spark, cfg, args.on_error), cfg, args.strategy, args.limit)
     print(f"{write_csv(publish(periods, cfg), cfg)} periods written to {cfg.files.output_csv}")
     return OK
