@@ -6,9 +6,9 @@ whatever the corpus; its counts come from every character of every text. Executo
 share into bounded arrays, Spark sums the counts by language and n-gram, and the model is kept as
 sorted arrays of n-gram hashes (the n-gram's number in base 40) beside their counts.
 
-A document is kept if the rules pass and its log-perplexity lies inside its language's band: median
-plus and minus a multiple of the median absolute deviation, both exact over all documents that pass
-the rules.
+A document is kept if the rules pass and its log-perplexity lies inside its language's band. The
+lower and the upper half of a band each have their own width, a multiple of the median distance from
+the median of the scores on that side, over all documents that pass the rules.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ ORDER = 4
 SIZE = 40
 #: Languages with a model of their own, by number of documents; the others and null share one.
 MAX_LANGS = 15
-#: Band: median +- max(WIDTH * 1.4826 * MAD, FLOOR), in nats a character; a floor of 1 is a factor of e
-#: either way, which short and mislabelled but clean texts stay within.
-WIDTH = 8.0
-FLOOR = 1.0
+#: A side of a band: WIDTH * 1.4826 * the median distance of that side's scores from the median.
+WIDTH = 5.0
+#: Groups of fewer documents have no spread of their own to go by: at least that of all groups together.
+FEW = 20
 #: Steps of the histogram of log-perplexity.
 STEP = 1e-3
 SYMBOLS = "#*$%&|<>"
@@ -227,33 +227,44 @@ def score(spark: SparkSession, docs: DataFrame, langs: list[str], model: dict[in
     return docs.mapInArrow(run, schema)
 
 
-def judged(spark: SparkSession, scored: DataFrame, width: float, floor: float) -> DataFrame:
+def judged(spark: SparkSession, scored: DataFrame, width: float) -> DataFrame:
     """Scored rows with __q_base_failed, __q_kept, __q_lower, __q_upper."""
-    limits = bands(scored, width, floor)
+    limits = bands(scored, width)
     table = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in limits.items()], "__q_lang_no int, __q_lower double, __q_upper double")
     out = scored.join(F.broadcast(table), "__q_lang_no", "left").withColumn("__q_base_failed", base_failed())
     inside = F.coalesce(F.col("__q_log_ppl").between(F.col("__q_lower"), F.col("__q_upper")), F.lit(True))
     return out.withColumn("__q_kept", ~F.col("__q_base_failed") & inside)
 
 
-def bands(scored: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> dict[int, tuple[float, float]]:
+def bands(scored: DataFrame, width: float = WIDTH) -> dict[int, tuple[float, float]]:
     """Lower and upper log-perplexity by language number, from an exact histogram of all scores."""
     ok = scored.where("__q_log_ppl is not null").where(~base_failed())
     hist = ok.groupBy(F.col("__q_lang_no").alias("lang_no"), F.round(F.col("__q_log_ppl") / STEP).cast("int").alias("bin")).count().collect()  # bounded: -ln P lies in 0..28
     by: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for r in hist:
         by[r["lang_no"]].append((r["bin"], r["count"]))
-    out = {}
+    # Per language: median, then (distances, how many) below and above it.
+    sides = {}
     for k, cells in by.items():
         at, n = (np.array(x) for x in zip(*sorted(cells)))
         mid = _median(at, n)
-        off = np.abs(at - mid)
-        order = np.argsort(off, kind="stable")
-        half = max(width * 1.4826 * _median(off[order], n[order]) * STEP, floor)
-        out[k] = (float(mid * STEP - half), float(mid * STEP + half))
+        sides[k] = mid, [(np.abs(at[s] - mid), n[s]) for s in (at <= mid, at >= mid)]
+    pooled = [_spread([s[i] for _, s in sides.values()]) if sides else 0.0 for i in (0, 1)]
+    out = {}
+    for k, (mid, own) in sides.items():
+        few = sum(n for _, n in by[k]) < FEW
+        low, high = (max(_spread([s]), p if few else 0) for s, p in zip(own, pooled))
+        half = [max(width * 1.4826 * x, 1) * STEP for x in (low, high)]  # a score is known to a step
+        out[k] = (float(mid * STEP - half[0]), float(mid * STEP + half[1]))
     return out
 
 
+def _spread(sides: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    off, n = (np.concatenate(x) for x in zip(*sides))
+    order = np.argsort(off, kind="stable")
+    return float(_median(off[order], n[order]))
+
+
 def _median(at: np.ndarray, n: np.ndarray) -> float:
     return at[np.searchsorted(np.cumsum(n), (n.sum() + 1) // 2)]
 
@@ -262,7 +273,7 @@ def base_failed() -> Column:
     return (F.col("__q_n_words") < 50) | (100 * F.col("__q_n_repeat_words") > 50 * F.col("__q_n_words"))
 
 
-def assess(spark: SparkSession, docs: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
+def assess(spark: SparkSession, docs: DataFrame, width: float = WIDTH) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, log_ppl, lower, upper.
 
@@ -272,7 +283,7 @@ def assess(spark: SparkSession, docs: DataFrame, width: float = WIDTH, floor: fl
     langs = language_groups(docs)
     narrow = pick(docs, "doc_id", "lang", "text")
     scored = score(spark, narrow, langs, train(spark, docs, langs)).drop("lang", "text")
-    out = judged(spark, materialize(spark, scored, "quality"), width, floor)
+    out = judged(spark, materialize(spark, scored, "quality"), width)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "lower", "upper")
     return out.select("doc_id", *[F.col(f"__q_{n}").alias(n) for n in names])
 
@@ -282,4 +293,4 @@ def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     filtered, so that no text is shuffled."""
     langs = language_groups(docs)
     scored = materialize(spark, score(spark, docs, langs, train(spark, docs, langs)), "quality-docs")
-    return judged(spark, scored, WIDTH, FLOOR).where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(spark, scored, WIDTH).where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -382,6 +382,25 @@ def test_assess_and_keep(spark, sf_dir):
     assert clean and all(got[i]["kept"] for i in clean)
 
 
+def test_bands_reject_labelled_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in table(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))}
+    judged = [r for r in table(quality.assess(spark, docs)) if not r["base_failed"] and r["doc_id"] in labels]
+    junk = [r["kept"] for r in judged if labels[r["doc_id"]] == 0]
+    clean = [r["kept"] for r in judged if labels[r["doc_id"]] == 1]
+    assert junk.count(False) >= 0.6 * len(junk) > 0 and clean.count(False) <= 0.03 * len(clean)
+
+
+def test_band_sides_have_their_own_spread(spark):
+    sides = [("a", x) for x in (*np.linspace(1.9, 2, 50), *np.linspace(2, 3, 50))]
+    few = [("b", x) for x in (1.0, 1.001, 1.002, 1.3)]
+    rows = [({"a": 0, "b": 1}[k], float(x), 100, 0) for k, x in sides + few]
+    df = spark.createDataFrame(rows, "__q_lang_no int, __q_log_ppl double, __q_n_words long, __q_n_repeat_words long")
+    got = quality.bands(df)
+    assert 2 - got[0][0] == pytest.approx(5 * 1.4826 * 0.05, rel=0.1) and got[0][1] - 2 == pytest.approx(5 * 1.4826 * 0.5, rel=0.1)
+    assert got[1][1] > 1.3  # four documents: the spread of all groups holds
+
+
 # ---- secrets
 
 
