@@ -1,0 +1,128 @@
+"""Near copies by similarity: documents whose sets of word shingles have a Jaccard index of at least a limit.
+
+Candidates come from min-hash bands: BANDS bands of ROWS values each, so that a pair of similarity s
+meets with probability 1 - (1 - s**ROWS)**BANDS, at 0.8 all but 5 in 10**8. Each candidate pair is
+then decided by the exact index of the two whole sets. Equal sets collapse to one before that.
+
+A bucket first links every member to its least one. What that connects is one component, and only
+pairs of different components are compared after it, so a dense group of near copies makes linear
+rows; the links left connect the same documents as all links would.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import materialize, pick
+from .components import connected_components
+
+WORDS = 5
+#: Least similarity in hundredths, so that the comparison is exact.
+PERCENT = 80
+BANDS, ROWS = 32, 4
+SEED = 42
+#: Shingles whose min-hashes are made at once, so that a very long text needs bounded memory.
+CHUNK = 1 << 12
+_RNG = np.random.default_rng(SEED)
+_A = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``words`` words (of all words, if fewer); none for no words."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined, h = b" ".join(tokens), xxhash.xxh64_intdigest
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+    last = (starts + lengths)[min(words, len(tokens)) - 1 :]
+    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist())], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One hash for each band of min-hashes; a set without shingles has those of no value."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), CHUNK):
+        mixed = hashes[None, at : at + CHUNK] * _A + _B
+        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, key, bands, hashes); ``key`` is a 128-bit hash of the set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(t.as_py(), words) for t in b.column(1)]
+            keys = [xxhash.xxh128_digest(x.tobytes()) for x in found]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(keys, pa.binary()), pa.array([bands(x) for x in found], longs), pa.array([x.view(np.int64) for x in found], longs)],
+                names=["doc_id", "key", "bands", "hashes"],
+            )
+
+    return pick(docs, "doc_id", "text").mapInArrow(each, "doc_id long, key binary, bands array<long>, hashes array<long>")
+
+
+def _alike(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of ids whose sets have an index of ``percent`` hundredths or more."""
+    left = known.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
+    right = known.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
+    met = pairs.join(left, "a").join(right, "b")
+    both = F.size(F.array_intersect("ha", "hb"))
+    met = met.select("a", "b", both.alias("both"), (F.size("ha") + F.size("hb")).alias("all"))
+    return met.where(F.col("both") * 100 >= (F.col("all") - F.col("both")) * percent).select("a", "b")
+
+
+def links(spark: SparkSession, rows: DataFrame, distinct: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between the ids of ``distinct``, rows of ``rows`` (id, bands, hashes), that connect all near sets."""
+    own = rows.select("id", "n", "bands").join(distinct.select("id"), "id", "left_semi")
+    banded = own.select("id", "n", F.explode("bands").alias("band"))
+    least = banded.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = materialize(spark, banded.join(least, "band").select("band", "id", "n", "least"), "jaccard-buckets")
+    known = rows.select("id", "hashes").join(met.select("id").distinct(), "id", "left_semi")
+    known = materialize(spark, known, "jaccard-sets")
+    stars = met.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    stars = materialize(spark, _alike(stars, known, percent), "jaccard-stars")
+    found = connected_components(spark, stars, "a", "b")
+    # What is left to compare: members of one bucket that the stars did not connect.
+    label = met.join(found, F.col("id") == F.col("node"), "left").select("band", "id", "n", "least", F.coalesce("component", "id").alias("component"))
+    label = materialize(spark, label, "jaccard-labelled")
+    mixed = label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band")
+    label = label.join(mixed, "band", "left_semi")
+    x, y = label.alias("x"), label.alias("y")
+    # The least member was compared with all others; sizes too far apart can't be similar.
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.id") != F.col("x.least"))
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & sizes).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return stars.unionByName(_alike(rest, known, percent))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """Documents without near copies: of each component the row with the smallest doc_id stays.
+
+    Texts without words are copies of each other. Rows that repeat the smallest doc_id all stay; rows
+    with a null doc_id stay.
+    """
+    columns = docs.columns
+    rows = sets(docs, words).select(F.monotonically_increasing_id().alias("id"), "*", F.size("hashes").cast("long").alias("n"))
+    rows = materialize(spark, rows, "jaccard")
+    distinct = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("id").alias("id"))
+    distinct = materialize(spark, distinct, "jaccard-distinct")
+    found = connected_components(spark, links(spark, rows, distinct, percent), "a", "b")
+    labelled = distinct.join(found, F.col("id") == F.col("node"), "left").select("key", "first", F.coalesce("component", "id").alias("root"))
+    labelled = materialize(spark, labelled, "jaccard-found")
+    firsts = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    keyed = rows.select("doc_id", "key").join(labelled.join(firsts, "root").select("key", "component_id"), "key")
+    gone = keyed.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept_too = keyed.where("doc_id = component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = materialize(spark, gone.join(kept_too, "__gone", "left_anti"), "jaccard-gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*[docs[c] for c in columns])

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eddyforge.llm import chat, decontaminate, language, licenses, lines, pieces, quality, secrets, simhash, warc
+from eddyforge.llm import chat, decontaminate, jaccard, language, licenses, lines, pieces, quality, secrets, simhash, warc
 from eddyforge.llm.components import connected_components
 from eddyforge.llm.license_texts import MIT
 
@@ -219,6 +219,35 @@ def test_parse_plain_archive_with_other_records():
     assert list(warc.parse_archive(b"")) == []
 
 
+def test_pipeline_near_copies_equal_brute_force(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(30, 300))]
+        texts.append(" ".join(words))
+        for _ in range(8):  # chains of edits: some within the limit of one another, some only by way of others
+            words = list(words)
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(5000)}"
+            texts.append(" ".join(words))
+    texts += ["", None, "one two", "one  TWO", "one three"]
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in table(corpus_pipeline.near_dedup(spark, docs, sf_dir))}
+    assert kept == set(root) and 12 < len(kept) < len(texts)
+    both = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    ids = Counter(r["doc_id"] for r in table(corpus_pipeline.near_dedup(spark, both, sf_dir)))
+    assert ids[0] == 2 and ids[None] == 1 and corpus_pipeline.near_dedup(spark, docs.limit(0), sf_dir).count() == 0
+
+
 # ---- licences
 
 
