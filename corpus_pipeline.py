@@ -13,6 +13,9 @@ from eddyforge.llm import decontaminate, jaccard, lines, pieces, quality
 from eddyforge.llm.common import materialize
 from eddyforge.llm.queries import tokenizer_path
 
+#: Edits between near lines. The query's SQL fixes one for op1_line_dedup.
+LINE_EDITS = 2
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their language's perplexity band reject go."""
@@ -21,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later equal or near lines go; n_chars follows the text. Every document stays, if only empty."""
-    out = lines.without_repeats(spark, docs)
+    out = lines.without_repeats(spark, docs, LINE_EDITS)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

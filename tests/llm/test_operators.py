@@ -186,6 +186,16 @@ def test_line_candidates_hold_every_near_pair(spark):
         assert near and near <= pairs
 
 
+def test_pipeline_links_lines_two_edits_apart(spark, sf_dir):
+    import corpus_pipeline
+
+    line = "The quick brown fox jumps over the lazy dog and runs off into the wood."
+    texts = [line, "first\n" + line.replace("quick", "quack").replace("wood", "food"), line.replace("fox", "ox").replace("dog", "dogs"), line.replace("quick brown fox", "slow red hen")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in table(corpus_pipeline.line_dedup(spark, docs, sf_dir))}
+    assert got == {0: line, 1: "first", 2: "", 3: texts[3]}
+
+
 # ---- warc
 
 
