@@ -27,6 +27,8 @@ SPELLINGS = (
 )
 COPYRIGHT = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: What the lower-case line of every known notice holds, whatever stands between its words.
+MAYBE = r"licen[sc]e|cc0|cc[^\p{L}\p{N}]+by"
 
 
 def canonical(text: Column, whole: bool = True) -> Column:
@@ -56,9 +58,7 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     known = known_digests(spark, True)
     notice = known_digests(spark, False).collect()  # a fixed list, whatever the corpus
     text = F.coalesce(F.col("text"), F.lit(""))
-    # A line that can be a notice is short; others can't equal one and aren't hashed.
-    most = 2 * max(len(t) for _, t, w in KNOWN if not w)
-    lines = F.filter(F.split(text, "\n", -1), lambda x: (F.char_length(x) <= most) & F.lower(x).rlike("licen[sc]e|licensed|public domain|spdx"))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.lower(x).rlike(MAYBE))
     digests = F.filter(F.transform(lines, lambda x: F.sha2(canonical(x, False), 256)), lambda d: d.isin([r["digest"] for r in notice]))
     names = F.create_map(*[F.lit(x) for r in notice for x in (r["digest"], r["license_id"])])
     d = docs.select("doc_id", text.alias("text"))

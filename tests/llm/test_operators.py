@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from eddyforge.llm import chat, decontaminate, jaccard, language, licenses, lines, pieces, quality, secrets, simhash, warc
 from eddyforge.llm.components import connected_components
-from eddyforge.llm.license_texts import MIT
+from eddyforge.llm.license_texts import KNOWN, MIT
 
 from . import brute
 
@@ -268,6 +268,13 @@ def test_license_scan(spark):
     assert got[4]["notices"] == "CC-BY-NC-4.0,MIT" and got[4]["n_notices"] == 2 and got[5]["notices"] == ""
 
 
+def test_every_known_notice_is_found(spark):
+    notices = [(i, t) for i, t, whole in KNOWN if not whole]
+    rows = [(2 * n + k, f"Text.\n{form}\nMore.") for n, (_, t) in enumerate(notices) for k, form in enumerate((t, f"/{'*' * 200} {t.replace(' ', ' - ')} {'*' * 200}/"))]
+    got = {r["doc_id"]: r for r in table(licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert all(got[d]["n_notices"] == 1 and got[d]["notices"] == notices[d // 2][0] for d, _ in rows)
+
+
 # ---- pieces
 
 
