@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eddyforge.llm import chat, decontaminate, jaccard, language, licenses, lines, pieces, quality, secrets, simhash, warc
+from eddyforge.llm.common import materialize
 from eddyforge.llm.components import connected_components
 from eddyforge.llm.license_texts import KNOWN, MIT
 
@@ -173,17 +174,76 @@ def test_line_dedup_equals_brute_force(spark, tau):
     assert got == bag(zip([i for i, _ in rows], brute.line_dedup(rows, tau)))
 
 
-def test_line_candidates_hold_every_near_pair(spark):
+def linked(spark, df, tau):
+    """Components and counts of links by text, found by ``line_links``."""
+    all_lines = materialize(spark, lines.distinct_lines(df, tau).withColumn("id", F.monotonically_increasing_id()), "t")
+    edges, counts = lines.line_links(spark, df, all_lines, tau)
+    of = {r["h1"]: r["line"] for r in table(lines.line_rows(df, 1))}
+    return {frozenset((of[r["a"]["h1"]], of[r["b"]["h1"]])) for r in table(edges)}, {of[r["node"]["h1"]]: r["n_links"] for r in table(counts)}
+
+
+@pytest.mark.parametrize(("tau", "hot"), [(1, 256), (1, 1), (2, 256), (2, 1)])
+def test_line_links_equal_brute_force(spark, tau, hot, monkeypatch):
+    """Edges are links and connect what all links do, counts are exact, also where each key counts as hot."""
+    monkeypatch.setattr(lines, "HOT", hot)
+    monkeypatch.setattr(lines, "BLOCK", 512 if hot > 1 else 3)
     rng = random.Random(9)
-    base = ["".join(rng.choice("abcdefgh") for _ in range(45)) for _ in range(6)]
-    texts = sorted({mutate(rng, rng.choice(base), rng.randrange(0, 3)) for _ in range(60)})
+    base = ["".join(rng.choice("abcdefgh") for _ in range(45)) for _ in range(6)] + ["a" * 44]
+    texts = sorted({mutate(rng, rng.choice(base), rng.randrange(0, 3)) for _ in range(80)} | {"a" * n for n in (40, 41, 43)})
     texts = [t for t in texts if len(t) >= 40]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for tau in (1, 2):
-        of = {r["h"]: r["text"] for r in table(df.select(F.xxhash64("text").alias("h"), "text"))}
-        pairs = {frozenset((of[r["a"]], of[r["b"]])) for r in table(lines.candidates(lines.distinct_lines(df, tau), tau))}
-        near = {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[:i] if brute.edit_distance(a, b) <= tau}
-        assert near and near <= pairs
+    edges, counts = linked(spark, df, tau)
+    near = {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[:i] if brute.edit_distance(a, b) <= tau}
+    assert near and edges <= near
+    assert counts == Counter(t for pair in near for t in pair)
+
+    def classes(pairs):
+        own = {t: {t} for t in texts}
+        for a, b in map(tuple, pairs):
+            if own[a] is not own[b]:
+                own[a] |= own[b]
+                for t in own[b]:
+                    own[t] = own[a]
+        return {frozenset(x) for x in own.values()}
+
+    assert classes(edges) == classes(near)
+
+
+def test_numbered_lines_make_linear_rows(spark):
+    """20 000 lines of one template: links as counted, and no table of more than a few rows a line and character."""
+    n = 20000
+    texts = [f"2024-01-01 12:00:00 worker finished the job number {i * 7919 % 10**8:08d} without any error at all" for i in range(n)]
+    df = spark.createDataFrame([(i // 50, "\n".join(texts[i : i + 50])) for i in range(0, n, 50)], "doc_id long, text string")
+    known = table(lines.line_classes(spark, df, 1))
+    numbers = {t[51:59] for t in texts}
+    want = Counter()
+    for x in numbers:
+        want[sum(x[:i] + c + x[i + 1 :] in numbers for i in range(8) for c in "0123456789" if c != x[i])] += 1
+    del want[0]
+    assert Counter(r["n_links"] for r in known) == want
+
+
+def test_removal_is_linear_in_lines(spark):
+    import time
+
+    text = "\n".join(f"{i:06d} {'word ' * 3}" for i in range(100000))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    t = time.time()
+    got = {r["doc_id"]: r["text"] for r in table(lines.dedup_lines(spark, df))}
+    assert got == {1: text, 2: ""} and time.time() - t < 60
+
+
+def test_line_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline
+
+    line = "a line that is long enough to count"
+    df = spark.createDataFrame([(1, line, "x"), (2, line, "y")], "doc_id long, text string, `a.b` string")
+    for name in ("__id", "__gone", "__th", "row", "doc", "th", "gone", "own_id", "own_th", "n_links", "__n_dropped", "first_class", "h1", "lines"):
+        df = df.withColumn(name, F.lit(7))
+    out = corpus_pipeline.line_dedup(spark, df.withColumn("n_chars", F.lit(1)), sf_dir)
+    rows = {r["doc_id"]: r for r in table(out)}
+    assert out.columns == [*df.columns, "n_chars"] and rows[1]["text"] == line and rows[2]["text"] == "" and rows[2]["a.b"] == "y" and rows[2]["__gone"] == 7
+    assert {r["__n_dropped"] for r in table(lines.dedup_lines(spark, df))} == {0, 1}
 
 
 def test_pipeline_links_lines_two_edits_apart(spark, sf_dir):
