@@ -1,12 +1,17 @@
-"""Near copies by similarity: documents whose sets of word shingles have a Jaccard index of at least a limit.
+"""Near copies for a corpus: SimHash finds candidates, the exact similarity of word shingles decides.
 
-Candidates come from min-hash bands: BANDS bands of ROWS values each, so that a pair of similarity s
-meets with probability 1 - (1 - s**ROWS)**BANDS, at 0.8 all but 5 in 10**8. Each candidate pair is
-then decided by the exact index of the two whole sets. Equal sets collapse to one before that.
+Fingerprints within DISTANCE bits, found by the generalised pigeonhole search of ``simhash``, put
+documents into groups. Two documents of a group are near copies if the sets of their runs of WORDS
+words have a Jaccard index of PERCENT hundredths or more; equal sets collapse to one before that.
+Sets are made of documents that share a group only.
 
-A bucket first links every member to its least one. What that connects is one component, and only
-pairs of different components are compared after it, so a dense group of near copies makes linear
-rows; the links left connect the same documents as all links would.
+SimHash turns a Jaccard index J into an angle, so the distance needed for J = 0.8 is wide (see README
+for what it catches) and the search's cost grows faster than the corpus; the plan is the cheapest
+that the dynamic programme finds for the corpus at hand.
+
+A group first links every member to its least one. What that connects is one component, and only
+pairs of different components are compared after it, in blocks, so a dense group of near copies makes
+linear rows; the links left connect the same documents as all links would.
 """
 
 from __future__ import annotations
@@ -19,57 +24,62 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialize, pick
 from .components import connected_components
 
 WORDS = 5
 #: Least similarity in hundredths, so that the comparison is exact.
 PERCENT = 80
-BANDS, ROWS = 32, 4
-SEED = 42
-#: Shingles whose min-hashes are made at once, so that a very long text needs bounded memory.
-CHUNK = 1 << 12
-_RNG = np.random.default_rng(SEED)
-_A = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
+#: Bits in which fingerprints of PRINT_WORDS-word shingles of a candidate pair may differ.
+DISTANCE = 10
+PRINT_WORDS = 3
+BLOCK = 2048
+
+
+def tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``words`` words (of all words, if fewer); none for no words."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
+    w = tokens(text)
+    if not w:
         return np.zeros(0, np.uint64)
-    joined, h = b" ".join(tokens), xxhash.xxh64_intdigest
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    joined, h = b" ".join(w), xxhash.xxh64_intdigest
+    lengths = np.fromiter(map(len, w), np.int64, len(w))
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    last = (starts + lengths)[min(words, len(tokens)) - 1 :]
-    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist())], np.uint64))
+    last = (starts + lengths)[min(words, len(w)) - 1 :]
+    return np.unique(np.array([h(joined[a:b], simhash.SEED) for a, b in zip(starts.tolist(), last.tolist())], np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One hash for each band of min-hashes; a set without shingles has those of no value."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), CHUNK):
-        mixed = hashes[None, at : at + CHUNK] * _A + _B
-        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+def key_of(text: str | None) -> bytes:
+    """128 bits of the words in their order: equal ones have equal sets."""
+    return xxhash.xxh128_digest(b" ".join(tokens(text)))
 
 
-def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, key, bands, hashes); ``key`` is a 128-bit hash of the set."""
+def prints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, key, fp) of rows with a doc_id."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t.as_py(), words) for t in b.column(1)]
-            keys = [xxhash.xxh128_digest(x.tobytes()) for x in found]
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array([bands(x) for x in found], longs), pa.array([x.view(np.int64) for x in found], longs)],
-                names=["doc_id", "key", "bands", "hashes"],
-            )
+            texts = [t.as_py() for t in b.column(1)]
+            fps = np.array([simhash.fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(key_of, texts), pa.binary()), pa.array(fps)], names=["doc_id", "key", "fp"])
+
+    return pick(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(each, "doc_id long, key binary, fp long")
 
-    return pick(docs, "doc_id", "text").mapInArrow(each, "doc_id long, key binary, bands array<long>, hashes array<long>")
+
+def sets(docs: DataFrame, words: int) -> DataFrame:
+    """(key, hashes), ``hashes`` being the set of shingles."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() for t in b.column(0)]
+            found = pa.array([shingles(t, words).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(map(key_of, texts), pa.binary()), found], names=["key", "hashes"])
+
+    return docs.select("text").mapInArrow(each, "key binary, hashes array<long>")
 
 
 def _alike(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -82,47 +92,65 @@ def _alike(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("both") * 100 >= (F.col("all") - F.col("both")) * percent).select("a", "b")
 
 
-def links(spark: SparkSession, rows: DataFrame, distinct: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between the ids of ``distinct``, rows of ``rows`` (id, bands, hashes), that connect all near sets."""
-    own = rows.select("id", "n", "bands").join(distinct.select("id"), "id", "left_semi")
-    banded = own.select("id", "n", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = materialize(spark, banded.join(least, "band").select("band", "id", "n", "least"), "jaccard-buckets")
-    known = rows.select("id", "hashes").join(met.select("id").distinct(), "id", "left_semi")
-    known = materialize(spark, known, "jaccard-sets")
-    stars = met.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    stars = materialize(spark, _alike(stars, known, percent), "jaccard-stars")
+def links(spark: SparkSession, members: DataFrame, known: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) that connect all near copies among ``members`` (grp, id, n, fp) of one group each;
+    ``known`` holds (id, hashes)."""
+    least = members.groupBy("grp").agg(F.min("id").alias("least"))
+    met = materialize(spark, members.join(least, "grp"), "near-members")
+    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    stars = met.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    stars = materialize(spark, _alike(stars, known, percent), "near-stars")
     found = connected_components(spark, stars, "a", "b")
-    # What is left to compare: members of one bucket that the stars did not connect.
-    label = met.join(found, F.col("id") == F.col("node"), "left").select("band", "id", "n", "least", F.coalesce("component", "id").alias("component"))
-    label = materialize(spark, label, "jaccard-labelled")
-    mixed = label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band")
-    label = label.join(mixed, "band", "left_semi")
-    x, y = label.alias("x"), label.alias("y")
+    label = met.join(found, F.col("id") == F.col("node"), "left").select("grp", "id", "n", "fp", "least", F.coalesce("component", "id").alias("component"))
+    label = materialize(spark, label, "near-labelled")
+    mixed = label.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high")
+    label = label.where("id != least").join(mixed.select("grp", F.ceil(F.col("members") / BLOCK).cast("int").alias("nb")), "grp")
+    own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    x = label.select("grp", own.alias("p"), others.alias("q"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa"), F.col("component").alias("ca"))
+    y = label.select("grp", others.alias("p"), own.alias("q"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb"), F.col("component").alias("cb"))
     # The least member was compared with all others; sizes too far apart can't be similar.
-    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.id") != F.col("x.least"))
-    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & sizes).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= k)
+    rest = x.join(y, ["grp", "p", "q"]).where(near).select("a", "b").distinct()
     return stars.unionByName(_alike(rest, known, percent))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Documents without near copies: of each component the row with the smallest doc_id stays.
+def near_copies(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, k: int = DISTANCE) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id of each row's group of near copies, itself included.
 
-    Texts without words are copies of each other. Rows that repeat the smallest doc_id all stay; rows
-    with a null doc_id stay.
+    ``doc_id`` is an integer; rows without one aren't in the result. Null and empty texts are copies of
+    one another. Repeated rows give repeated rows; an empty table gives none. Texts may be of any length.
     """
-    columns = docs.columns
-    rows = sets(docs, words).select(F.monotonically_increasing_id().alias("id"), "*", F.size("hashes").cast("long").alias("n"))
-    rows = materialize(spark, rows, "jaccard")
-    distinct = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("id").alias("id"))
-    distinct = materialize(spark, distinct, "jaccard-distinct")
-    found = connected_components(spark, links(spark, rows, distinct, percent), "a", "b")
-    labelled = distinct.join(found, F.col("id") == F.col("node"), "left").select("key", "first", F.coalesce("component", "id").alias("root"))
-    labelled = materialize(spark, labelled, "jaccard-found")
+    rows = materialize(spark, prints(docs, PRINT_WORDS), "near")
+    texts = rows.groupBy("key", "fp").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id())
+    texts = materialize(spark, texts, "near-texts")  # written once, so an id stays
+    found = connected_components(spark, simhash.links(spark, texts.select("fp").distinct(), k))
+    grouped = texts.join(found, F.col("fp") == F.col("node"), "left").select("id", "key", "fp", "first", F.coalesce("component", "fp").alias("grp"))
+    grouped = materialize(spark, grouped, "near-grouped")
+    shared = grouped.groupBy("grp").count().where("count > 1").select("grp")
+    members = materialize(spark, grouped.join(shared, "grp", "left_semi"), "near-shared")
+    own = pick(docs, "doc_id", "text").join(members.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    known = sets(own, words).join(members.select("id", "key"), "key").select("id", "hashes").dropDuplicates(["id"])
+    known = materialize(spark, known, "near-sets")
+    members = members.join(known.select("id", F.size("hashes").cast("long").alias("n")), "id").select("grp", "id", "n", "fp")
+    found = connected_components(spark, links(spark, members, known, percent, k), "a", "b")
+    labelled = texts.join(found, F.col("id") == F.col("node"), "left").select("key", "first", F.coalesce("component", "id").alias("root"))
+    labelled = materialize(spark, labelled, "near-found")
     firsts = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    keyed = rows.select("doc_id", "key").join(labelled.join(firsts, "root").select("key", "component_id"), "key")
-    gone = keyed.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept_too = keyed.where("doc_id = component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = materialize(spark, gone.join(kept_too, "__gone", "left_anti"), "jaccard-gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*[docs[c] for c in columns])
+    keyed = labelled.join(firsts, "root").select("key", "component_id")
+    return rows.select("doc_id", "key").join(keyed, "key").select("doc_id", "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, k: int = DISTANCE) -> DataFrame:
+    """Documents without near copies: of each group the row with the smallest doc_id stays.
+
+    Rows that repeat the smallest doc_id all stay; rows with a null doc_id stay and send none away. The
+    other cases are those of ``near_copies``; further columns stay as they are, whatever their names.
+    """
+    found = materialize(spark, near_copies(spark, docs, percent, words, k), "near-copies")
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    gone = gone.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = materialize(spark, gone.select(F.struct("doc_id").alias("gone_row")), "near-gone")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = own.join(gone, F.col("row").getField("doc_id") == F.col("gone_row.doc_id"), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

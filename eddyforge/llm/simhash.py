@@ -2,9 +2,10 @@
 
 The 64 bits are grouped into partitions of correlated bits. For a distance limit k and m partitions
 with thresholds t_i (-1 upwards) summing to k - m + 1, two fingerprints within k bits agree within
-t_i bits on at least one partition i, so probing each partition's exact values and their
-t_i-neighbourhoods loses no link. The number of partitions and the thresholds are chosen by dynamic
-programming on candidate counts estimated from bit statistics of all distinct fingerprints.
+t_i bits on at least one partition i. Both sides probe that partition's value with up to half t_i bits
+flipped, rounded up, so that values within t_i bits meet and no link is lost. The number of partitions
+and the thresholds are chosen by dynamic programming on candidate counts, estimated from the distances
+of a bounded sample's pairs on each partition as it is; the estimate decides the cost and no result.
 
 Copies collapse to one fingerprint before the search. Inside a bucket fingerprints are compared in
 blocks of bounded size and only a spanning forest of the true links leaves a block, so a dense
@@ -32,6 +33,11 @@ MAX_DISTANCE = 3
 SEED = 42
 #: Fingerprints of one bucket that are compared at once; larger buckets are split into pairs of blocks.
 BLOCK = 2048
+#: Fingerprints whose pairs' distances are counted for the estimate.
+SAMPLE = 1024
+#: What one probe row costs, in comparisons of two fingerprints; most probes of a value.
+ROW_COST = 1000
+MOST_PROBES = 1 << 12
 #: Shingle hashes whose bits are counted at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 16
 
@@ -66,33 +72,22 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(each, "doc_id long, fp long")
 
 
-def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints, and for each pair of bits in how many both are set (64 x 64)."""
-
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros((BITS, BITS))
-        for b in batches:
-            bits = _bits(b.column(0).to_numpy())
-            n, total = n + len(bits), total + bits.T @ bits
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "c"])
-
-    parts = distinct.mapInArrow(gram, "n long, c array<double>")
-    cells = parts.select("n", F.posexplode("c").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    out, n = np.zeros(BITS * BITS), 0
-    for r in cells:  # 4096 cells whatever the corpus
-        out[r["i"]], n = r["x"], r["n"]
-    return n, out.reshape(BITS, BITS)
+def statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of fingerprints, and a sample of SAMPLE of them at most, those with the smallest hash."""
+    rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    return distinct.count(), np.array([r["fp"] for r in rows], np.int64)
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
 
 
-def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
+def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
     """m groups of nearly equal width; each bit joins the open group it is most correlated with."""
-    p = np.diag(both) / max(n, 1)
+    bits = _bits(sample) if len(sample) else np.zeros((1, BITS))
+    p = bits.mean(axis=0)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    corr = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd))
+    corr = np.abs((bits.T @ bits / len(bits) - np.outer(p, p)) / np.outer(sd, sd))
     free, groups = set(range(BITS)), []
     for g in range(m):
         width = math.ceil(len(free) / (m - g))
@@ -108,21 +103,51 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def allocate(n: int, both: np.ndarray, groups: list[list[int]], k: int = MAX_DISTANCE) -> tuple[float, list[int]]:
+def distances(sample: np.ndarray, bits: list[int]) -> np.ndarray:
+    """Share of pairs of fingerprints that differ in 0, 1, ... of these bits: the sample's histogram,
+    with one pair's weight of what independent bits would give, so that no share is zero."""
+    share = _bits(sample)[:, bits].mean(axis=0) if len(sample) else np.full(len(bits), 0.5)
+    prior = np.ones(1)
+    for d in 2 * np.clip(share, 0.01, 0.99) * (1 - np.clip(share, 0.01, 0.99)):
+        prior = np.concatenate((prior * (1 - d), [0])) + np.concatenate(([0], prior * d))
+    own = np.ascontiguousarray(sample & _signed(sum(1 << b for b in bits))).view(np.uint64)
+    seen = np.zeros(len(bits) + 1)
+    for i in range(len(own) - 1):
+        seen += np.bincount(np.bitwise_count(own[i + 1 :] ^ own[i]), minlength=len(bits) + 1)
+    return (seen + prior) / (seen.sum() + 1)
+
+
+def radius(t: int) -> int:
+    """Bits flipped on both sides so that values within ``t`` bits meet."""
+    return (t + 1) // 2
+
+
+def meetings(width: int, j: int, r: int) -> int:
+    """Buckets that two values share that differ in ``j`` of ``width`` bits, each with its flips of up to ``r``."""
+    return sum(math.comb(j, a) * math.comb(width - j, b) for a in range(j + 1) for b in range(width - j + 1) if a + b <= r and j - a + b <= r)
+
+
+def ball(width: int, r: int) -> int:
+    return sum(math.comb(width, j) for j in range(r + 1))
+
+
+def candidate_pairs(n: int, width: int, shares: np.ndarray, t: int) -> float:
+    """Expected comparisons in the buckets of one partition with threshold ``t``."""
+    r = radius(t)
+    return n * n / 2 * sum(shares[j] * meetings(width, j, r) for j in range(min(2 * r, width) + 1))
+
+
+def allocate(n: int, sample: np.ndarray, groups: list[list[int]], k: int = MAX_DISTANCE) -> tuple[float, list[int]]:
     """Least estimated cost and thresholds with sum k - m + 1, by dynamic programming over partitions."""
-    p = np.diag(both) / max(n, 1)
-    differ = 2 * p * (1 - p)
-    m, need = len(groups), k - len(groups) + 1
+    need = k - len(groups) + 1
     cost = []
     for bits in groups:
-        within = np.zeros(k + 1)
-        within[0] = 1.0
-        for b in bits:  # how many of the group's bits two random fingerprints differ in
-            within = within * (1 - differ[b]) + np.concatenate(([0], within[:-1])) * differ[b]
-        row = {-1: 0.0}
-        for t in range(k + 1):
-            ball = sum(math.comb(len(bits), j) for j in range(t + 1))
-            row[t] = n * ball * 4.0 + n * n / 2 * within[: t + 1].sum() * ball ** (t > 0)
+        shares, row = distances(sample, bits), {-1: 0.0}
+        for t in range(min(k, len(bits)) + 1):
+            rows = n * ball(len(bits), radius(t))
+            if t and rows > n * MOST_PROBES:
+                break
+            row[t] = ROW_COST * rows + candidate_pairs(n, len(bits), shares, t)
         cost.append(row)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in cost:
@@ -132,31 +157,31 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], k: int = MAX_DIS
                 if (have + t) not in step or c + x < step[have + t][0]:
                     step[have + t] = (c + x, [*ts, t])
         best = step
-    return best[need] if m else (0.0, [])
+    return best.get(need, (math.inf, []))
 
 
-def plan_partitions(n: int, both: np.ndarray, k: int = MAX_DISTANCE) -> list[tuple[list[int], int]]:
-    """The cheapest (bits, threshold) list over two to k + 3 partitions."""
+def plan_partitions(n: int, sample: np.ndarray, k: int = MAX_DISTANCE) -> list[tuple[list[int], int]]:
+    """The cheapest (bits, threshold) list over two to k + 1 partitions."""
     plans = []
-    for m in range(2, k + 4):
-        groups = group_bits(n, both, m)
-        c, ts = allocate(n, both, groups, k)
+    for m in range(2, k + 2):
+        groups = group_bits(sample, m)
+        c, ts = allocate(n, sample, groups, k)
         plans.append((c, [(g, t) for g, t in zip(groups, ts) if t >= 0]))
     return min(plans, key=lambda x: x[0])[1]
 
 
 def links(spark: SparkSession, distinct: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
     """Edges (src, dst) between distinct fingerprints (column fp) that connect all within k bits."""
-    n, both = bit_statistics(distinct)
+    n, sample = statistics(distinct)
     rows = None
-    for i, (bits, t) in enumerate(plan_partitions(n, both, k)):
+    for i, (bits, t) in enumerate(plan_partitions(n, sample, k)):
         mask = sum(1 << b for b in bits)
         flips = [0]
-        for d in range(1, t + 1):
+        for d in range(1, radius(t) + 1):
             flips += [sum(1 << b for b in c) for c in itertools.combinations(bits, d)]
         value = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
         part = distinct.select("fp", F.lit(i).alias("part"), value.alias("value"))
-        if t:
+        if len(flips) > 1:
             part = part.select("fp", "part", F.explode(F.array(*[F.lit(_signed(x)) for x in flips])).alias("flip"), "value")
             part = part.select("fp", "part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         rows = part if rows is None else rows.unionByName(part)
@@ -237,8 +262,9 @@ def _forest(fps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = MAX_DISTANCE, words: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id, n_copies of the same fingerprint.
 
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows give repeated
-    result rows. A component of null doc_ids alone has a null component_id.
+    ``doc_id`` is an integer. Null and empty texts have fingerprint zero and link like any other; texts
+    may be of any length. Repeated rows give repeated result rows; an empty table gives none. Further
+    columns are not read. A component of null doc_ids alone has a null component_id.
     """
     fps = materialize(spark, fingerprints(docs, words), "simhash")
     distinct = materialize(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies")), "simhash-distinct")
@@ -250,16 +276,3 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = MAX_DISTANCE,
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = labelled.join(ids, "root").select("fp", "n_copies", "component_id")
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
-    """Documents without near copies: of each component the row with the smallest doc_id stays.
-
-    Rows that repeat that doc_id all stay; rows with a null doc_id stay.
-    """
-    columns = docs.columns
-    found = near_duplicates(spark, docs, k)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept_too = found.where("doc_id = component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = materialize(spark, gone.join(kept_too, "__gone", "left_anti"), "simhash-gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*[docs[c] for c in columns])

@@ -140,3 +140,95 @@ def line_dedup(rows, tau=1, exact=10, near=40):
         kept = [x for n, x in enumerate(text.split("\n")) if x not in where or (i, n) <= first[root(x)]]
         out.append("\n".join(kept))
     return out
+
+
+ORDER = 4
+
+
+def symbols(text):
+    def one(ch):
+        c = ord(ch)
+        if c < 128:
+            if ch.isupper():
+                return ord("A")
+            if ch.isdigit():
+                return ord("0")
+            if c == 32 or 9 <= c <= 13:
+                return 32
+            if ch in ".,":
+                return ord(".")
+            return ord("#") if ch in "#*$%&|<>" else c if ch.isalpha() else ord("!")
+        return c if c < 1 << 16 else 0xE000 + c % 6400
+
+    return [0] * (ORDER - 1) + [one(c) for c in text]
+
+
+def grams(text):
+    s = symbols(text)
+    return [tuple(s[i : i + ORDER]) for i in range(len(text))]
+
+
+def discount(counts):
+    n = [max(1, sum(1 for c in counts if c == k)) for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    raw = [0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+    return [min(max(d, low), high) for d, low, high in zip(raw, (0, 0.1, 0.2, 0.3), (0, 1, 2, 3))]
+
+
+def counted(rows):
+    """By (language, half): order -> n-gram tuple -> count, continuation counts below the highest order."""
+    out = {}
+    for lang, half, text in rows:
+        top = out.setdefault((lang, half), {ORDER: {}})[ORDER]
+        for g in grams(text):
+            top[g] = top.get(g, 0) + 1
+    for levels in out.values():
+        for order in range(ORDER - 1, 0, -1):
+            levels[order] = {}
+            for g in levels[order + 1]:
+                levels[order][g[1:]] = levels[order].get(g[1:], 0) + 1
+    return out
+
+
+def kneser_ney(rows):
+    """(levels, discounts) as the operator's model takes them."""
+    import numpy as np
+
+    out = {}
+    for k, levels in counted(rows).items():
+        packed = {o: (np.array([sum(x << 16 * (o - 1 - i) for i, x in enumerate(g)) for g in c], np.uint64), np.array(list(c.values()))) for o, c in levels.items()}
+        out[k] = packed, {o: np.array(discount(c.values())) for o, c in levels.items()}
+    return out
+
+
+def log_perplexities(rows):
+    """Mean -ln P a character of each (language, half, text) by the other half's counts; None without any."""
+    from math import log
+
+    models = counted(rows)
+    tables = {}
+    for k, levels in models.items():
+        tables[k] = {}
+        for order, counts in levels.items():
+            d, total, left = discount(counts.values()), {}, {}
+            for g, c in counts.items():
+                total[g[:-1]] = total.get(g[:-1], 0) + c
+                left[g[:-1]] = left.get(g[:-1], 0) + d[min(c, 3)]
+            tables[k][order] = counts, d, total, left
+
+    def p(model, g):
+        out = 1 / 65536
+        for order in range(1, ORDER + 1):
+            counts, d, total, left = model[order]
+            own = g[-order:]
+            if own[:-1] in total:
+                c = counts.get(own, 0)
+                out = max(c - d[min(c, 3)], 0) / total[own[:-1]] + left[own[:-1]] / total[own[:-1]] * out
+        return out
+
+    result = []
+    for lang, half, text in rows:
+        model = tables.get((lang, 1 - half))
+        ok = text and model and model[ORDER][0]
+        result.append(-sum(log(p(model, g)) for g in grams(text)) / len(text) if ok else None)
+    return result

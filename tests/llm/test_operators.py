@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import dataclasses
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eddyforge.llm import chat, decontaminate, jaccard, language, licenses, lines, pieces, quality, secrets, simhash, warc
+from eddyforge.llm import chat, decontaminate, language, licenses, lines, near, pieces, quality, secrets, simhash, warc
 from eddyforge.llm.common import materialize
 from eddyforge.llm.components import connected_components
 from eddyforge.llm.license_texts import KNOWN, MIT
@@ -106,21 +107,60 @@ def test_generated_clusters_lose_no_link(spark):
 def test_thresholds_obey_the_pigeonhole():
     rng = np.random.default_rng(0)
     for n in (100, 10**6, 10**11):
-        bits = rng.random((500, 64)) < 0.5
-        both = bits.T.astype(float) @ bits * n / 500
-        for m in range(2, 7):
-            groups = simhash.group_bits(n, both, m)
-            assert sorted(b for g in groups for b in g) == list(range(64))
-            _, ts = simhash.allocate(n, both, groups)
-            assert sum(ts) == 3 - m + 1
-    assert sum(len(g) for g, _ in simhash.plan_partitions(10**11, both * 1.0)) <= 64
+        sample = rng.integers(-(1 << 63), (1 << 63) - 1, 300, dtype=np.int64)
+        for k in (3, 10):
+            for m in range(2, k + 2):
+                groups = simhash.group_bits(sample, m)
+                assert sorted(b for g in groups for b in g) == list(range(64))
+                c, ts = simhash.allocate(n, sample, groups, k)
+                assert not ts or sum(ts) == k - m + 1
+            assert sum(len(g) for g, _ in simhash.plan_partitions(n, sample, k)) <= 64
+    assert simhash.plan_partitions(0, np.zeros(0, np.int64))
+
+
+@pytest.mark.parametrize("t", [0, 1, 2, 3])
+def test_estimated_candidates_are_near_the_true_number(t):
+    """Bits that copy one another: the estimate has to come from the groups as they are."""
+    rng = np.random.default_rng(1)
+    bits = rng.random((4000, 64)) < 0.5
+    for b in range(0, 64, 4):
+        bits[:, b + 1 : b + 4] = bits[:, b : b + 1] ^ (rng.random((4000, 3)) < 0.05)
+    fps = np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+    for group in simhash.group_bits(fps[:1024], 4):
+        shares = simhash.distances(fps[:1024], group)
+        mask = simhash._signed(sum(1 << b for b in group))
+        r, met = simhash.radius(t), Counter()
+        flips = [sum(1 << b for b in c) for d in range(r + 1) for c in itertools.combinations(group, d)]
+        for x in (fps & mask).tolist():
+            met.update(x ^ simhash._signed(f) for f in flips)
+        true = sum(c * (c - 1) // 2 for c in met.values())
+        assert true / 1.5 < simhash.candidate_pairs(len(fps), len(group), shares, t) < true * 1.5
 
 
 def test_keep_one(spark):
-    kept = table(simhash.keep_one(spark, brute.docs(spark)))
-    assert set(kept[0]) >= {"doc_id", "text", "fp", "component_id", "node"}
+    kept = table(near.keep_one(spark, brute.docs(spark).withColumn("row", F.lit(1)).withColumn("gone_row", F.lit(2))))
+    assert set(kept[0]) >= {"doc_id", "text", "fp", "component_id", "node", "row", "gone_row"}
     ids = Counter(r["doc_id"] for r in kept)
-    assert ids[1] == 1 and ids[2] == 0 and ids[3] == 0 and ids[4] == 2
+    assert ids[1] == 1 and ids[2] == 0 and ids[3] == 0 and ids[4] == 2 and ids[None] == 1
+
+
+def test_near_copies_catch_planted_ones(spark):
+    """Pairs at 0.8 or more, found by comparing all, end in one group for nine of ten at least; nothing else is joined."""
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    texts = []
+    for _ in range(150):
+        w = rng.choices(vocabulary, k=rng.randrange(100, 500))
+        v = list(w)
+        for _ in range(max(1, round(len(w) * rng.uniform(0.002, 0.025)))):
+            v[rng.randrange(len(v))] = rng.choice(vocabulary)
+        texts += [" ".join(w), " ".join(v)]
+    found = {r["doc_id"]: r["component_id"] for r in table(near.near_copies(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    sets = [set(near.shingles(t).tolist()) for t in texts]
+    alike = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, 300, 2)]
+    caught = [found[i + 1] == i for i in range(0, 300, 2)]
+    assert sum(alike) > 80 and sum(c for c, a in zip(caught, alike) if a) >= 0.9 * sum(alike)
+    assert not any(c for c, a in zip(caught, alike) if not a) and all(found[i] == i for i in range(0, 300, 2))
 
 
 def test_empty_tables(spark, empty):
@@ -303,7 +343,7 @@ def test_pipeline_near_copies_equal_brute_force(spark, sf_dir):
                 words[rng.randrange(len(words))] = f"n{rng.randrange(5000)}"
             texts.append(" ".join(words))
     texts += ["", None, "one two", "one  TWO", "one three"]
-    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    sets = [set(near.shingles(t).tolist()) for t in texts]
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -312,7 +352,8 @@ def test_pipeline_near_copies_equal_brute_force(spark, sf_dir):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in table(corpus_pipeline.near_dedup(spark, docs, sf_dir))}
-    assert kept == set(root) and 12 < len(kept) < len(texts)
+    # SimHash finds candidates: what goes is what brute force sends away, but for a tenth that it may miss.
+    assert kept >= set(root) and len(kept) - len(set(root)) <= 0.1 * (len(texts) - len(set(root)))
     both = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
     ids = Counter(r["doc_id"] for r in table(corpus_pipeline.near_dedup(spark, both, sf_dir)))
     assert ids[0] == 2 and ids[None] == 1 and corpus_pipeline.near_dedup(spark, docs.limit(0), sf_dir).count() == 0
@@ -458,11 +499,68 @@ def test_base_counts_equal_brute_force(spark, sf_dir):
         assert quality.base_counts(t) == brute.quality(t)
 
 
-def test_model_is_a_distribution():
+def test_model_is_a_distribution(monkeypatch):
+    """P of all symbols after a context sums to 1 - up to the share of symbols beyond those tried."""
     rng = np.random.default_rng(1)
-    grams, counts = np.unique(rng.zipf(1.3, 20000) % quality.SIZE**quality.ORDER, return_counts=True)
-    p = np.exp(-quality.log_probabilities(grams, counts)).reshape(-1, quality.SIZE)
-    assert p.sum(axis=1) == pytest.approx(np.ones(len(p)), abs=1e-6)
+    text = "".join(chr(97 + x) for x in (rng.zipf(1.5, 5000) % 20))
+    halves = brute.kneser_ney([(None, 1, text)])
+    model = quality.Model.of(*halves[None, 1])
+    for context in ("aaa", "abc", "zzz", "qab"):
+        head = np.uint64(0)
+        for ch in context:
+            head = (head | np.uint64(ord(ch))) << np.uint64(16)
+        p = model.probability(head | np.arange(1 << 16, dtype=np.uint64))
+        assert p.sum() == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize("shard_rows", [10**6, 40])
+def test_log_perplexity_equals_brute_force(spark, shard_rows):
+    """Modified Kneser-Ney over dictionaries, each text by the counts of the other half, in one part or many."""
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abcde ,.Z9é日𝒳") for _ in range(rng.randrange(0, 60))), rng.choice(["en", "xx", None])) for i in range(40)]
+    rows += [(50, None, "en"), (51, "", "en"), (52, "only one of its language", "yy"), (1, "a repeated row", "en"), (1, "a repeated row", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("row", F.lit(1)).withColumn("grp", F.lit(1)).withColumn("log_ppl", F.lit("x"))
+    half = {r["doc_id"]: r["half"] for r in table(df.select("doc_id", quality._half().alias("half")))}
+    got = sorted(((r["doc_id"], r["log_ppl"]) for r in table(quality.assess(spark, df, shard_rows=shard_rows))), key=str)
+    want = sorted(zip([r[0] for r in rows], brute.log_perplexities([(r[2], half[r[0]], r[1] or "") for r in rows])), key=str)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    for (_, g), (_, w) in zip(got, want):
+        assert (g is None) == (w is None) and (w is None or g == pytest.approx(w, rel=1e-4))
+
+
+def test_kept_equals_brute_force(spark, sf_dir):
+    """The bands from all scores, computed again in Python, give the same verdicts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = table(quality.assess(spark, docs).join(docs.select("doc_id", "lang"), "doc_id"))
+    by = {}
+    for r in rows:
+        if not r["base_failed"] and r["log_ppl"] is not None:
+            by.setdefault(r["lang"], []).append(round(r["log_ppl"] / quality.STEP + 1e-9))
+    low = lambda x: sorted(x)[(len(x) - 1) // 2]
+    mids = {k: low(v) for k, v in by.items()}
+    sides = {k: ([mids[k] - x for x in v if x <= mids[k]], [x - mids[k] for x in v if x >= mids[k]]) for k, v in by.items()}
+    pooled = [low([x for s in sides.values() for x in s[i]]) for i in (0, 1)]
+    limits = {}
+    for k, s in sides.items():
+        own = [max(low(x), p if len(by[k]) < quality.FEW else 0) for x, p in zip(s, pooled)]
+        half = [max(quality.WIDTH * 1.4826 * x, 1) * quality.STEP for x in own]
+        limits[k] = mids[k] * quality.STEP - half[0], mids[k] * quality.STEP + half[1]
+    for r in rows:
+        low_, high = limits.get(r["lang"], (-1, 99))
+        if r["log_ppl"] is None or min(abs(r["log_ppl"] - low_), abs(r["log_ppl"] - high)) > 2 * quality.STEP:
+            assert r["kept"] == (not r["base_failed"] and (r["log_ppl"] is None or low_ <= r["log_ppl"] <= high))
+
+
+def test_quality_of_awkward_rows(spark):
+    """Nulls, very long texts, repeated rows, clashing names; every language has a model of its own."""
+    many = [(100 + i, f"text number {i} in a language with two texts " * 8, f"l{i // 2}", "s", 1) for i in range(60)]
+    df = brute.docs(spark, brute.NASTY + many).withColumn("row", F.lit(1)).withColumn("grp", F.lit(2)).withColumn("kept", F.lit("x")).withColumn("__q_n_words", F.lit(3))
+    got = table(quality.assess(spark, df))
+    assert bag(r["doc_id"] for r in got) == bag([r[0] for r in brute.NASTY + many])
+    long_ = [r for r in got if r["doc_id"] == 7][0]
+    assert long_["n_words"] == 30000 and long_["n_repeat_words"] == 30000 and long_["base_failed"]
+    kept = quality.keep_good(spark, df)
+    assert kept.columns == df.columns and bag(r["doc_id"] for r in table(kept)) == bag(r["doc_id"] for r in got if r["kept"])
 
 
 def test_ngrams_do_not_depend_on_pieces(monkeypatch):
@@ -485,7 +583,7 @@ def test_assess_and_keep(spark, sf_dir):
     assert kept == {i for i, r in got.items() if r["kept"]}
     good = {r["doc_id"] for r in table(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1"))}
     clean = [i for i in good if not got[i]["base_failed"]]
-    assert clean and all(got[i]["kept"] for i in clean)
+    assert sum(got[i]["kept"] for i in clean) >= 0.97 * len(clean) > 0  # what goes mixes languages, like doc 52
 
 
 def test_bands_reject_labelled_junk(spark):
@@ -500,11 +598,10 @@ def test_bands_reject_labelled_junk(spark):
 def test_band_sides_have_their_own_spread(spark):
     sides = [("a", x) for x in (*np.linspace(1.9, 2, 50), *np.linspace(2, 3, 50))]
     few = [("b", x) for x in (1.0, 1.001, 1.002, 1.3)]
-    rows = [({"a": 0, "b": 1}[k], float(x), 100, 0) for k, x in sides + few]
-    df = spark.createDataFrame(rows, "__q_lang_no int, __q_log_ppl double, __q_n_words long, __q_n_repeat_words long")
-    got = quality.bands(df)
-    assert 2 - got[0][0] == pytest.approx(5 * 1.4826 * 0.05, rel=0.1) and got[0][1] - 2 == pytest.approx(5 * 1.4826 * 0.5, rel=0.1)
-    assert got[1][1] > 1.3  # four documents: the spread of all groups holds
+    df = spark.createDataFrame([(k, float(x), 100, 0) for k, x in sides + few], "grp string, log_ppl double, n_words long, n_repeat_words long")
+    got = {r["grp"]: (r["lower"], r["upper"]) for r in table(quality.bands(df, 5.0))}
+    assert 2 - got["a"][0] == pytest.approx(5 * 1.4826 * 0.05, rel=0.1) and got["a"][1] - 2 == pytest.approx(5 * 1.4826 * 0.5, rel=0.1)
+    assert got["b"][1] > 1.3  # four documents: the spread of all groups holds
 
 
 # ---- secrets
