@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyforge.llm import decontaminate, jaccard, lines, pieces, quality
+from eddyforge.llm import decontaminate, lines, near, pieces, quality
 from eddyforge.llm.common import materialize
 from eddyforge.llm.queries import tokenizer_path
 
@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard 0.8 or more) the smallest doc_id stays."""
-    return jaccard.keep_one(spark, docs)
+    """Of each group of near copies (SimHash candidates, 5-word Jaccard of 0.8 or more) the smallest doc_id stays."""
+    return near.keep_one(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: The perplexity model, the min-hashes and the encoder are beyond SQL: tested against brute force.
+#: The perplexity model, the fingerprints and the encoder are beyond SQL: tested against brute force.
 ORACLE_SQL = None
 
 
