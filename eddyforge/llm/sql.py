@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .license_texts import KNOWN
 from .licenses import SPELLINGS
-from .secrets import EXAMPLE_OWNERS
+from .secrets import EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -111,15 +111,16 @@ SELECT rid, doc_id, source, {rank} AS rank, '{name}' AS kind, spot AS start, spo
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 s AS ({" UNION ALL ".join(parts)}),
-f AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM s GROUP BY value),
-x AS (SELECT s.*, f.owners, f.owners < {EXAMPLE_OWNERS} AS live FROM s JOIN f ON f.value = s.value),
+f AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners,
+  count(DISTINCT coalesce('=' || source, '') || chr(10) || coalesce('=' || doc_id, '')) AS repositories FROM s GROUP BY value),
+x AS (SELECT s.*, f.owners, f.repositories, f.owners < {EXAMPLE_OWNERS} AND f.repositories < {EXAMPLE_REPOSITORIES} AS live FROM s JOIN f ON f.value = s.value),
 per AS (SELECT rid, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 3 OR live) AS spans,
-  count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example, max(owners) AS n_owners FROM x GROUP BY rid)
+  count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example, max(owners) AS n_owners, max(repositories) AS n_repositories FROM x GROUP BY rid)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
-  coalesce(n_example, 0) AS n_example, coalesce(n_owners, 0) AS n_owners FROM d LEFT JOIN per ON per.rid = d.rid
+  coalesce(n_example, 0) AS n_example, coalesce(n_owners, 0) AS n_owners, coalesce(n_repositories, 0) AS n_repositories FROM d LEFT JOIN per ON per.rid = d.rid
 """
 
 
