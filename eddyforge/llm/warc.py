@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, pick
-
-#: Captures of one archive file; keeps files small enough to be read whole by one task.
-CAPTURES_PER_FILE = 4000
+from .common import materialize, new_path, pick
+
+#: Bytes of payload in one archive file, which one task reads whole; a larger capture is a file by itself.
+ARCHIVE_BYTES = 64 << 20
+#: Payloads up to this size are taken as so large, which bounds the captures of a file; larger ones are
+#: dealt into classes, each GROWTH times the size of the one before.
+LEAST_CLASS = 16 << 10
+GROWTH = 4
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -64,6 +68,8 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write_archives(spark: SparkSession, pages: DataFrame, path: str, min_bytes: int = 0) -> str:
     """Writes a transaction per row of ``pages`` (page_id, url, html) below ``path``; returns it.
 
+    A file holds captures of one size class of one task and no more of them than fill ARCHIVE_BYTES.
+
     A null html is an empty payload, a null url gives no target header, a null page_id counts as
     the smallest. Rows tied on the largest page_id of a payload are all responses.
     """
@@ -89,11 +95,24 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, min_bytes:
         F.when(revisit, http).otherwise(F.concat(http, F.col("payload"))),
     )
     about = _record(F.lit("metadata"), _urn("metadata", F.col("page_id"), F.col("digest"), F.col("url")), [target, concurrent, F.lit("Content-Type: application/warc-fields")], F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")))
-    out = p.select(F.concat(request, F.lit(END), capture, F.lit(END), about).alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+    out = p.select(F.concat(request, F.lit(END), capture, F.lit(END), about).alias("value"), *_file(F.col("n_bytes")))
+    out.write.option("lineSep", END).option("compression", "gzip").partitionBy("size_class", "slot").text(path)
     return path
 
 
+def _file(n_bytes: Column) -> list[Column]:
+    """Size class, and number of the file within its class and task: rows of a task are numbered, so
+    every run of as many numbers as a file may have captures has no more captures than that."""
+    most, of, captures = LEAST_CLASS, F.lit(0), F.lit(max(1, ARCHIVE_BYTES // LEAST_CLASS))
+    k = 0
+    while most < ARCHIVE_BYTES:
+        k, beyond = k + 1, n_bytes > most
+        most *= GROWTH
+        of, captures = F.when(beyond, k).otherwise(of), F.when(beyond, max(1, ARCHIVE_BYTES // most)).otherwise(captures)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return [of.alias("size_class"), F.floor(row / captures).alias("slot")]
+
+
 FIELDS = "type string, id string, concurrent_to string, refers_to string, uri string, stated_digest string, page_id long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -160,14 +179,22 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
                         rows, held = [], 0
                 yield flush(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FIELDS)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("content").mapInArrow(run, FIELDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: request, capture (response or revisit) and metadata.
+    """One nested row per capture: request, capture (response or revisit), metadata, refers_page_id,
+    verified.
 
     Captures without a request or metadata keep a null there; equal captures repeat as often as
-    their main record does. ``refers_page_id`` is the page of the response that a revisit names.
+    their main record does. ``refers_page_id`` is the page of the response that a revisit names, and a
+    revisit takes its payload's length and digest from that response. ``verified`` tells whether what
+    the record states agrees with the payload (for a revisit, with the response's); a revisit whose
+    response isn't there keeps what it states and is not verified. No records give no rows.
+
+    Only revisits are joined to responses: responses refer to nothing, so their rows would meet in one
+    task. ``records`` is read several times and should be a table that is written.
     """
     main = records.where("type in ('response', 'revisit')")
     inner = ["id", "type", "uri", "refers_to", "stated_digest", "payload_bytes", "payload_digest", "payload"]
@@ -175,11 +202,28 @@ def assemble(records: DataFrame) -> DataFrame:
     request = records.where("type = 'request'").groupBy(F.col("concurrent_to").alias("id")).agg(F.first(F.struct(F.col("id").alias("id"), "uri")).alias("request"))
     about = records.where("type = 'metadata'").groupBy(F.col("concurrent_to").alias("id")).agg(F.first(F.struct(F.col("id").alias("id"), "page_id")).alias("metadata"))
     rows = main.join(request, "id", "left").join(about, "id", "left")
-    to = rows.where("capture.type = 'response'").select(F.col("id").alias("to_id"), F.col("metadata.page_id").alias("refers_page_id"))
-    rows = rows.join(to, F.col("capture.refers_to") == F.col("to_id"), "left").drop("to_id")
+    own = F.col("capture")
+    agree = F.coalesce(own["stated_digest"] == own["payload_digest"], F.lit(True))
+    responses = rows.where("capture.type = 'response'").select("capture", "n", "request", "metadata", F.lit(None).cast("long").alias("refers_page_id"), agree.alias("verified"))
+    to = rows.where("capture.type = 'response'").select(
+        F.col("id").alias("to_id"), F.col("metadata.page_id").alias("refers_page_id"), own["payload_bytes"].alias("to_bytes"), own["payload_digest"].alias("to_digest")
+    )
+    revisits = rows.where("capture.type = 'revisit'").withColumn("names", F.col("capture.refers_to")).join(to, F.col("names") == F.col("to_id"), "left")
+    same = F.coalesce((own["payload_bytes"] == F.col("to_bytes")) & (own["payload_digest"] == F.col("to_digest")), F.lit(False))
+    full = own.withField("payload_bytes", F.coalesce("to_bytes", own["payload_bytes"])).withField("payload_digest", F.coalesce("to_digest", own["payload_digest"]))
+    revisits = revisits.select(full.alias("capture"), "n", "request", "metadata", "refers_page_id", same.alias("verified"))
+    rows = responses.unionByName(revisits)
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n", "copy")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, keep_payload: bool = False) -> DataFrame:
-    """Writes ``pages`` to new archives in the shared folder and reads them back, assembled."""
-    return assemble(read_records(spark, write_archives(spark, pages, new_path(spark, "warc")), keep_payload))
+    """Writes ``pages`` (page_id, url, html) to new archives in the shared folder and reads them back,
+    assembled; the archives are read once.
+
+    A null html is an empty payload, a null url gives no target, a null page_id counts as the smallest.
+    Repeated rows give repeated captures; rows tied on the largest page_id of a payload are all
+    responses. Payloads may be of any length that fits in one row. An empty table gives no rows. Further
+    columns are not read.
+    """
+    path = write_archives(spark, pages, new_path(spark, "warc"))
+    return assemble(materialize(spark, read_records(spark, path, keep_payload), "warc-records"))

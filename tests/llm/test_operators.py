@@ -323,6 +323,36 @@ def test_warc_threshold_keeps_small_payloads(spark):
     assert {r["type"] for r in table(warc.read_records(spark, path).where("type in ('response', 'revisit')"))} == {"response"}
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 100_000)
+    monkeypatch.setattr(warc, "LEAST_CLASS", 1000)
+    rng = random.Random(1)
+    rows = [(i, f"http://a/{i}", f"{i} " + "x" * rng.choice([10, 900, 1100, 5000, 60_000, 250_000])) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = warc.write_archives(spark, df, warc.new_path(spark, "t"))
+    files = table(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content"))
+    for f in files:
+        payloads = [len(bytes(r["block"])) for r in warc.parse_archive(f["content"]) if r["head"]["warc-type"] == "response"]
+        assert len(payloads) == 1 or sum(payloads) <= 100_000 + 200 * len(payloads)
+    assert 20 < len(files) < 300
+    got = {r["metadata"]["page_id"]: r for r in table(warc.round_trip(spark, df))}
+    assert all(got[i]["capture"]["payload_bytes"] == len(h) and got[i]["verified"] for i, _, h in rows)
+
+
+def test_revisits_are_checked_against_their_response(spark):
+    df = spark.createDataFrame([(1, "a", "same"), (2, "b", "same"), (3, "c", "other")], "page_id long, url string, html string")
+    records = table(warc.read_records(spark, warc.write_archives(spark, df, warc.new_path(spark, "t"))))
+    for r in records:
+        if r["type"] == "revisit":
+            r["payload_bytes"] = 999
+    got = {r["metadata"]["page_id"]: r for r in table(warc.assemble(spark.createDataFrame(records, warc.FIELDS)))}
+    assert not got[1]["verified"] and got[1]["capture"]["payload_bytes"] == 4 and got[1]["refers_page_id"] == 2
+    assert got[2]["verified"] and got[3]["verified"]
+    alone = [r for r in records if r["type"] != "response"]
+    (r,) = table(warc.assemble(spark.createDataFrame(alone, warc.FIELDS)))
+    assert not r["verified"] and r["refers_page_id"] is None and r["capture"]["payload_bytes"] == 999
+
+
 def test_parse_plain_archive_with_other_records():
     raw = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\na: b\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 8\r\n\r\nH\r\n\r\nabc\r\n\r\n"
     assert [r["head"]["warc-type"] for r in warc.parse_archive(raw)] == ["warcinfo", "response"]
@@ -622,12 +652,45 @@ def test_secret_spans_equal_brute_force(spark):
 
 def test_ownership_separates_examples_from_live_secrets(spark):
     shared, own = "ghp_" + "Xy" * 12, "ghp_" + "Zw" * 12
-    rows = [(i, f"key {shared} end", f"owner{i % 5}") for i in range(20)] + [(100, f"key {own} end", "owner1"), (101, None, None)]
+    rows = [(i, f"key {shared} end", f"owner{i % 5}") for i in range(5)] + [(100, f"key {own} end", "owner1"), (101, None, None)]
     got = {r["doc_id"]: r for r in table(secrets.scan(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")))}
-    assert got[0]["n_example"] == 1 and got[0]["spans"] == "" and got[0]["n_owners"] == 5
+    # Owners alone decide: five of them, in fewer repositories than the other limit.
+    assert got[0]["n_example"] == 1 and got[0]["spans"] == "" and got[0]["n_owners"] == 5 == got[0]["n_repositories"]
     assert got[100]["n_live"] == 1 and got[100]["spans"] == "vendor:4:32" and got[101]["spans"] == ""
 
 
+def test_repositories_of_one_owner_make_an_example(spark):
+    copied, live = "ghp_" + "Ab" * 12, "ghp_" + "Cd" * 12
+    rows = [(i, f"key {copied} end", "hot") for i in range(8)] + [(50 + i, f"key {live} end", "hot") for i in range(7)] + [(50, f"key {live} end", "hot")] * 3
+    got = {r["doc_id"]: r for r in table(secrets.scan(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")))}
+    assert got[0]["n_example"] == 1 and got[0]["spans"] == "" and (got[0]["n_owners"], got[0]["n_repositories"]) == (1, 8)
+    assert got[50]["n_live"] == 1 and got[50]["n_repositories"] == 7  # repeated rows are one repository
+
+
+def test_repeated_rows_and_null_owners(spark):
+    value = "ghp_" + "Ef" * 12
+    rows = [(1, value, None), (1, value, None), (1, value, ""), (None, value, "s")]
+    got = table(secrets.scan(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert len(got) == 4 and all((r["n_owners"], r["n_repositories"], r["spans"]) == (3, 3, "vendor:0:28") for r in got)
+
+
+def test_no_span_of_any_kind_is_lost(spark):
+    """Every match that counts is found, whatever its prefix; least lengths on and off by one."""
+    texts = ["sk_live_123456789012", "xoxb-123456789012345", "x sk_live_12345678901", "xoxb-12345678901234", "eyJ" + "a" * 17, "eyJ" + "a" * 16, "AKIA" + "B" * 14, "AKIA" + "B" * 13, "0" * 16, "0" * 15]
+    rng = random.Random(8)
+    bits = ["AKIA", "ghp_", "xoxb-", "sk_live_", "eyJ", "token", "=", '"', " ", "a1b2c3", "ABCDEF0", ".", "_", "-", "\n", "é"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(3, 25))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = {r["doc_id"]: r["spans"] for r in table(secrets.scan(spark, df, example_owners=10**9, example_repositories=10**9))}
+    assert got[0] == "vendor:0:20" and got[1] == "vendor:0:20" and got[2] == got[3] == ""
+    for i, t in enumerate(texts):
+        spans = []
+        for k, (name, pattern, group, least) in enumerate(secrets.KINDS):
+            flags = re.I | re.A if name == "assign" else 0
+            spans += [(m.start(), k, m.end(), name) for m in re.finditer(pattern.replace("(?i)", ""), t, flags) if len(m[group]) >= least]
+        assert got[i] == ",".join(f"{n}:{x}:{y}" for x, _, y, n in sorted(spans))
+
+
 # ---- chat
 
 
@@ -646,6 +709,20 @@ def test_chat_round_trip(spark):
         assert g["loss_text"] == "".join(x for _, r, x in own if r == "assistant")
 
 
+def test_formatting_is_linear_in_a_conversation(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" é word<|im_end|>"), 12)).alias("text"))
+        t = time.time()
+        (r,) = table(chat.read_back(chat.format_conversations(df)).select(F.size("turns").alias("n"), F.char_length("loss_text").alias("loss"), "identical"))
+        assert r["identical"] and r["n"] == n and r["loss"] == sum(len(str(i)) + 12 * 17 for i in range(1, n, 2))
+        return time.time() - t
+
+    seconds(1000)
+    assert seconds(50000) < 40  # fifty thousand turns, some 11 million characters
+
+
 def test_clean_text_is_not_escaped(spark):
     df = spark.createDataFrame([(1, 0, "user", "a < b | c \\ d <b>"), (1, 1, "assistant", "ok")], "conv_id long, turn long, role string, text string")
     assert table(chat.format_conversations(df))[0]["formatted"] == "<|im_start|>user\na < b | c \\ d <b><|im_end|>\n<|im_start|>assistant\nok<|im_end|>\n"
