@@ -1,9 +1,13 @@
 """Known licence texts and one-line notices: (licence id, text, whether it is an entire licence).
 
 Fixed values, from the public texts of the licences. Copyright lines are left out: the canonical
-form drops them.
+form drops them. The longer ones are the files in ``texts``, each named by its licence id; they were
+taken as they are published. No copies of the AGPL-3.0, CC-BY-4.0, CC-BY-NC-4.0 and CC-BY-ND-4.0 texts
+were at hand, so these are known by their notices only.
 """
 
+from pathlib import Path
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -64,7 +68,17 @@ NAMES = (
 )
 FORMS = ("{0}", "Licensed under the {0}.", "Licensed under {0}.", "Released under the {0}.", "Released under {0}.", "This work is licensed under the {0}.", "This work is licensed under {0}.")
 
+FILES = tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "texts").glob("*.txt")))
+
+
+def _without_appendix(text: str) -> str:
+    """A licence up to the end of its terms: what follows tells how to apply it, and is often left out."""
+    return text.partition("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS"
+
+
 KNOWN = (
+    *((i, t, True) for i, t in FILES),
+    *((i, _without_appendix(t), True) for i, t in FILES if "END OF TERMS AND CONDITIONS" in t),
     ("MIT", MIT, True),
     ("MIT", "MIT License\n\n" + MIT, True),
     ("ISC", ISC, True),

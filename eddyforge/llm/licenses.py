@@ -27,8 +27,7 @@ SPELLINGS = (
 )
 COPYRIGHT = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
-#: What the lower-case line of every known notice holds, whatever stands between its words.
-MAYBE = r"licen[sc]e|cc0|cc[^\p{L}\p{N}]+by"
+NOT_WORD_IN_LINE = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical(text: Column, whole: bool = True) -> Column:
@@ -42,6 +41,15 @@ def canonical(text: Column, whole: bool = True) -> Column:
     return t
 
 
+def canonical_lines(text: Column) -> Column:
+    """The canonical forms of a text's lines, each by itself, made by one pass over the text: no
+    spelling holds a newline, and none of a line's ends is a space."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), NOT_WORD_IN_LINE, " "), "(?m)^ | $", "")
+    for a, b in SPELLINGS:
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.split(t, "\n", -1)
+
+
 def known_digests(spark: SparkSession, whole: bool) -> DataFrame:
     """(digest, license_id) of the texts of a fixed list, notices (one line) or entire licences."""
     rows = [(i, t, w) for i, t, w in KNOWN if w == whole]
@@ -53,13 +61,14 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per document: doc_id, digest (of the canonical text), license_id (or null), n_notices,
     notices (distinct ids of the notices in it, sorted and comma-joined; empty if none).
 
-    A null text is empty; an empty canonical text is no licence. Repeated rows give repeated rows.
+    Every line of a text, of any length, is looked up by the digest of its canonical form. A digest of
+    several licences counts for the first id. A null text is empty; an empty canonical text is no
+    licence. Repeated rows give repeated rows; an empty table gives none. Further columns are not read.
     """
     known = known_digests(spark, True)
     notice = known_digests(spark, False).collect()  # a fixed list, whatever the corpus
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.lower(x).rlike(MAYBE))
-    digests = F.filter(F.transform(lines, lambda x: F.sha2(canonical(x, False), 256)), lambda d: d.isin([r["digest"] for r in notice]))
+    digests = F.filter(F.transform(canonical_lines(text), lambda x: F.sha2(x, 256)), lambda d: d.isin([r["digest"] for r in notice]))
     names = F.create_map(*[F.lit(x) for r in notice for x in (r["digest"], r["license_id"])])
     d = docs.select("doc_id", text.alias("text"))
     d = d.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), digests.alias("hits"))

@@ -406,6 +406,24 @@ def test_every_known_notice_is_found(spark):
     assert all(got[d]["n_notices"] == 1 and got[d]["notices"] == notices[d // 2][0] for d, _ in rows)
 
 
+def test_entire_licences_and_their_lines(spark):
+    """Each known text, reflowed and recased, gives its id; lines are what each by itself would be."""
+    whole = [(i, t) for i, t, entire in KNOWN if entire]
+    rows = [(n, "  \r\n" + t.replace("\n", " \n * ").upper()) for n, (_, t) in enumerate(whole)]
+    got = {r["doc_id"]: r["license_id"] for r in table(licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got == {n: i for n, (i, _) in enumerate(whole)}
+    assert {i for i, _ in whole} >= {"GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "Apache-2.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"}
+    rng = random.Random(3)
+    bits = ["sub", "licence", " ", "\n", "-", "http", "https", "programme", "per", "cent", "é", "MIT License", "copyright", "=" * 90, "Owner", "\r"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 20))) for _ in range(300)] + ["=" * 400 + " MIT License " + "=" * 400]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in table(df.select(licenses.canonical_lines(F.col("text")).alias("a"), F.transform(F.split("text", "\n", -1), lambda x: licenses.canonical(x, False)).alias("b"))):
+        assert r["a"] == r["b"]
+    rows = [(1, texts[-1]), (1, texts[-1]), (None, "MIT License\n" * 3)]
+    got = table(licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(r["n_notices"] for r in got) == [1, 1, 3]
+
+
 # ---- pieces
 
 
