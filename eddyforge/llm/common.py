@@ -14,11 +14,13 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in tests on one machine, a folder of our own is used.
+    Only where that is unset and all runs on one machine, as in tests, a folder of our own is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: the text operators write tables that all executors read")
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="eddyforge-"))
 
 
@@ -28,6 +30,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Rows of an Arrow batch while a table is made: texts may be long, and a batch is held several times.
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Rows up to which a table of one row a language or the like is broadcast.
+FEW_ROWS = 100_000
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +45,11 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows; a larger one is joined as it comes."""
+    return F.broadcast(table) if table.limit(FEW_ROWS + 1).count() <= FEW_ROWS else table
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

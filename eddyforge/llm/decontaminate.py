@@ -4,10 +4,11 @@ The index is partitioned by document shards: a shard holds about a million words
 a row of it is a term with the ascending positions of all its occurrences in the shard. Documents
 lie apart in a shard's position space, so an intersection never runs across two of them.
 
-A search reads the posting lists of the benchmark's terms only. Per shard each window starts from
-the rarest of its terms; their positions, less the term's offset in the window, are the candidate
-starts, which the other terms' lists cut down in ascending order of length. The benchmark is taken
-in blocks of bounded size, each broadcast by itself.
+A search reads the posting lists of the benchmark's terms only. Per shard the windows all of whose
+terms occur there start from the rarest of them; its positions, less the term's offset in the window,
+are the candidate starts, which the other terms' lists cut down in ascending order of length. For
+proximity a window matches at a start if each of its terms lies within SLOP words of its place. The
+benchmark is taken in blocks of bounded size, each broadcast by itself.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialize, pick
 
 WINDOW = 10
+#: Words by which a term may be off its place in a proximity match.
+SLOP = 2
 #: Words of a shard; one document of more words is a shard by itself.
 SHARD_WORDS = 1_000_000
 #: Benchmark words of one broadcast block.
@@ -121,49 +124,66 @@ def _within(sorted_at: np.ndarray, want: np.ndarray, slop: int) -> np.ndarray:
     return found
 
 
-def intersect(lists: list[np.ndarray], window: tuple[int, ...], slop: int = 0) -> np.ndarray:
-    """Starts of a window, from its rarest term on; with a slop, other terms may lie so far off."""
+def intersect(lists: list[np.ndarray], window: tuple[int, ...], slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of a window, and for each a position of its rarest term: exact ones, or with each term
+    at most ``slop`` words off its place."""
     order = sorted(range(len(window)), key=lambda i: len(lists[window[i]]))
-    starts = lists[window[order[0]]] - order[0]
+    at = lists[window[order[0]]]
+    starts, anchors = at - order[0], at
+    if slop:
+        starts = (starts[:, None] + np.arange(-slop, slop + 1, dtype=starts.dtype)).ravel()
+        anchors = np.repeat(at, 2 * slop + 1)
     for i in order[1:]:
         if not len(starts):
             break
-        starts = starts[_within(lists[window[i]], starts + i, slop)]
-    return starts
+        keep = _within(lists[window[i]], starts + i, slop)
+        starts, anchors = starts[keep], anchors[keep]
+    return starts, anchors
 
 
-FOUND = "shard long, ord int, item string, first int, last int"
+FOUND = "shard long, ord int, item string, first int, last int, exact boolean"
 
 
-def search(spark: SparkSession, index: DataFrame, items: list[tuple[str, list[bytes]]], size: int = WINDOW, slop: int = 0) -> DataFrame:
-    """Matches of one block's items: runs (first, last word of the document) per shard, document, item."""
+def search(spark: SparkSession, index: DataFrame, items: list[tuple[str, list[bytes]]], size: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """Matches of one block's items per shard, document and item: exact runs (first, last word of the
+    document), and rows without a run for items that are only near."""
     terms, wins = windows(items, size)
-    shared = spark.sparkContext.broadcast((terms, wins, [i for i, _ in items]))
+    table = np.full((len(wins), max((len(w) for w, _ in wins), default=1)), len(terms), np.int32)  # past the end: always there
+    for i, (w, _) in enumerate(wins):
+        table[i, : len(w)] = w
+    shared = spark.sparkContext.broadcast((terms, wins, table, [i for i, _ in items]))
     wanted = spark.createDataFrame([(bytearray(t),) for t in terms], "term binary")
     use = index.join(F.broadcast(wanted), "term", "left_semi").unionByName(index.where("term is null").select(*index.columns))
 
-    def run(table: pa.Table) -> pa.Table:
-        terms, wins, item_ids = shared.value
+    def run(rows: pa.Table) -> pa.Table:
+        terms, wins, table, item_ids = shared.value
         number = {t: i for i, t in enumerate(terms)}
         lists: list[np.ndarray] = [np.zeros(0, np.int32)] * len(terms)
-        shard = table.column("shard")[0].as_py()
+        here = np.zeros(len(terms) + 1, bool)
+        here[-1] = True
+        shard = rows.column("shard")[0].as_py()
         begin, ords = [], []
-        for term, at, o in zip(table.column("term"), table.column("positions"), table.column("ord")):
+        for term, at, o in zip(rows.column("term"), rows.column("positions"), rows.column("ord")):
             if term.is_valid:
                 lists[number[term.as_py()]] = np.asarray(at.values)
+                here[number[term.as_py()]] = True
             else:
                 begin.append(at.values[0].as_py())
                 ords.append(o.as_py())
         by = np.argsort(begin)
         begin, ords = np.array(begin)[by], np.array(ords)[by]
-        lengths = [len(x) for x in lists]
         found: dict[int, list[np.ndarray]] = defaultdict(list)
-        for window, item in wins:
-            if all(lengths[t] for t in window):
-                starts = intersect(lists, window, slop)
-                if len(starts):
-                    found[item].append(np.stack([starts, starts + len(window) - 1]))
-        out = [[], [], [], []]
+        close: dict[int, set[int]] = defaultdict(set)
+        for w in np.flatnonzero(here[table].all(axis=1)).tolist():
+            window, item = wins[w]
+            starts, anchors = intersect(lists, window)
+            if len(starts):
+                found[item].append(np.stack([starts, starts + len(window) - 1]))
+            if slop:
+                _, anchors = intersect(lists, window, slop)
+            if len(anchors):
+                close[item].update((np.searchsorted(begin, anchors, side="right") - 1).tolist())
+        out = [[], [], [], [], []]
         for item, runs in found.items():
             first, last = np.concatenate(runs, axis=1)
             by = np.argsort(first, kind="stable")
@@ -175,7 +195,16 @@ def search(spark: SparkSession, index: DataFrame, items: list[tuple[str, list[by
             out[1] += [item_ids[item]] * len(first)
             out[2] += (first - begin[doc]).tolist()
             out[3] += (last - begin[doc]).tolist()
-        return pa.table([pa.array([shard] * len(out[0]), pa.int64()), pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["shard", "ord", "item", "first", "last"])
+            out[4] += [True] * len(first)
+            close[item] -= set(doc.tolist())
+        for item, docs in close.items():
+            out[0] += ords[sorted(docs)].tolist() if docs else []
+            out[1] += [item_ids[item]] * len(docs)
+            out[2] += [None] * len(docs)
+            out[3] += [None] * len(docs)
+            out[4] += [False] * len(docs)
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
+        return pa.table([pa.array(c, k) for c, k in zip([[shard] * len(out[0]), *out], kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
 
     return use.groupBy("shard").applyInArrow(run, FOUND)
 
@@ -195,11 +224,14 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
         yield held
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated.
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated, all from exact
+    matches, and n_near_items, the number of items with a window that matches within ``slop`` words.
 
-    An item of fewer than ``size`` words is one window; one without words none. Null texts have no
-    words. An empty benchmark leaves every document clean. Repeated rows give repeated result rows.
+    ``doc_id`` is an integer. An item of fewer than ``size`` words is one window; one without words none;
+    items of one id are one. Null texts have no words; texts may be of any length up to 2**31 words. An
+    empty benchmark leaves every document clean; an empty table gives no rows. Repeated rows give repeated
+    result rows. Further columns are not read.
     """
     index = build_index(spark, docs)
     hits = None
@@ -209,7 +241,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, si
     all_docs = index.where("term is null").select("shard", "ord", "doc_id", "n_words")
     if hits is None:
         hits = spark.createDataFrame([], FOUND)
-    runs = F.array_sort(F.collect_list(F.struct("first", "last")))
+    runs = F.array_sort(F.collect_list(F.when(F.col("exact"), F.struct("first", "last"))))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("reach"))
     covered = F.aggregate(
         runs,
@@ -220,18 +252,20 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, si
         ),
         lambda a: a["n"],
     )
-    per = hits.groupBy("shard", "ord").agg(covered.alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
+    per = hits.groupBy("shard", "ord").agg(covered.alias("n_hit"), F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("item")))).alias("items"), F.count_distinct("item").alias("n_near_items"))
     out = all_docs.join(per, ["shard", "ord"], "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near_items", F.lit(0).cast("long")).alias("n_near_items"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any benchmark passage, all columns; found by doc_id.
+    """The rows of ``docs`` without any benchmark passage, all columns, whatever their names; by doc_id.
 
-    Rows that share the doc_id of a contaminated row go with it.
+    Rows that share the doc_id of a contaminated row go with it; a null doc_id is one doc_id. The other
+    cases are those of ``decontaminate``.
     """
-    bad = decontaminate(spark, docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    bad = decontaminate(spark, docs, benchmark, slop=0).where("contaminated").select(F.struct("doc_id").alias("bad_row")).distinct()
     bad = materialize(spark, bad, "contaminated")
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    return own.join(bad, own["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = own.join(bad, F.col("row").getField("doc_id").eqNullSafe(F.col("bad_row.doc_id")), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -8,7 +8,9 @@ product folds into one weight matrix (cells x languages), and a batch of texts i
 matrix product.
 
 The classifier is fitted on a documented sample of labelled rows: at most PER_LANG a language, those
-with the smallest hash of doc_id. Prediction reads every whole text and nothing else.
+with the smallest hash of doc_id. The sample stays with the executors: the driver gets the landmarks'
+n-grams and, for the regression, sums of products of features with one another and for each language.
+Prediction reads every whole text and nothing else.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import materialize, pick, small
 
-#: Training rows of a language, languages learned (the most frequent), landmarks.
+#: Training rows of a language, landmarks of all languages. Ranks are taken in so many parts first.
 PER_LANG = 400
-MAX_LANGS = 64
+RANK_PARTS = 64
 LANDMARKS = 256
 RIDGE = 1e-3
 #: Hash cells of n-grams of length 1, 2, 3.
@@ -73,24 +75,67 @@ def features(rows: list[np.ndarray]) -> np.ndarray:
     return x
 
 
-def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """Names and weights (cells x languages)."""
-    names = sorted(set(langs))
-    x = features(rows)
-    # Landmarks alternate over the languages, in the order of the rows.
-    rank: dict[str, int] = {}
-    order = []
-    for i, lang in enumerate(langs):
-        rank[lang] = rank.get(lang, -1) + 1
-        order.append((rank[lang], lang, i))
-    z = x[[i for _, _, i in sorted(order)[:landmarks]]]
+def whitening(z: np.ndarray) -> np.ndarray:
+    """Landmarks' kernel to the power of -1/2, on the part that isn't null."""
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = values > 1e-8 * values.max()
-    whiten = vectors[:, good] / np.sqrt(values[good])
-    phi = (x @ z.T).astype(np.float64) @ whiten
-    y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    phi1 = np.hstack([phi, np.ones((len(phi), 1))])
-    weights = np.linalg.solve(phi1.T @ phi1 + ridge * len(phi) * np.diag([1.0] * phi.shape[1] + [0.0]) + 1e-9 * np.eye(phi1.shape[1]), phi1.T @ y)
+    return vectors[:, good] / np.sqrt(values[good])
+
+
+def embed(rows: list[np.ndarray], z: np.ndarray, whiten: np.ndarray) -> np.ndarray:
+    """Nyström features of texts, and a one for the offset."""
+    phi = (features(rows) @ z.T).astype(np.float64) @ whiten
+    return np.hstack([phi, np.ones((len(phi), 1))])
+
+
+def solve(gram: np.ndarray, sums: np.ndarray, n: int, ridge: float = RIDGE) -> np.ndarray:
+    """Weights (features x languages) of one-versus-rest ridge regression on targets 1 and -1.
+
+    ``gram``: features' products summed over the rows; ``sums``: features summed over each language's
+    rows. The offset isn't shrunk.
+    """
+    size = len(gram)
+    target = 2 * sums.T - gram[:, -1:]  # the offset's column of the products is the sum over all rows
+    return np.linalg.solve(gram + ridge * n * np.diag([1.0] * (size - 1) + [0.0]) + 1e-9 * np.eye(size), target)
+
+
+def fit(spark: SparkSession, sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray] | None:
+    """Names and weights (cells x languages) from rows (lang, k, cells); None without rows."""
+    # Landmarks alternate over the languages, in the order of the sample.
+    by = Window.partitionBy("lang").orderBy("k")
+    chosen = sample.withColumn("turn", F.row_number().over(by)).orderBy("turn", "lang").limit(landmarks).collect()
+    if not chosen:
+        return None
+    z = features([np.array(r["cells"]) for r in chosen])
+    whiten = whitening(z)
+    shared = spark.sparkContext.broadcast((z, whiten))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, whiten = shared.value
+        size = whiten.shape[1] + 1
+        gram, sums, n = np.zeros((size, size)), {}, 0
+        for b in batches:
+            langs = b.column(0).to_pylist()
+            for at in range(0, b.num_rows, BATCH):
+                phi = embed([np.array(c.as_py()) for c in b.column(1)[at : at + BATCH]], z, whiten)
+                gram, n = gram + phi.T @ phi, n + len(phi)
+                for lang, x in zip(langs[at:], phi):
+                    sums[lang] = sums.get(lang, 0) + x
+        rows = [(None, gram.ravel())] + list(sums.items()) if n else []
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float64()))], names=["lang", "x"])
+
+    parts = sample.select("lang", "cells").mapInArrow(products, "lang string, x array<double>")
+    cells = parts.select("lang", F.posexplode("x").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    cells = cells.collect()  # (landmarks + 1) squared, and landmarks + 1 for each language
+    size = whiten.shape[1] + 1
+    gram, names = np.zeros(size * size), sorted({r["lang"] for r in cells if r["lang"] is not None})
+    number, sums = {k: i for i, k in enumerate(names)}, np.zeros((len(names), size))
+    for r in cells:
+        if r["lang"] is None:
+            gram[r["i"]] = r["x"]
+        else:
+            sums[number[r["lang"]], r["i"]] = r["x"]
+    weights = solve(gram.reshape(size, size), sums, round(gram[-1]), ridge)
     return names, np.vstack([z.T @ (whiten @ weights[:-1]), weights[-1:]]).astype(np.float32)
 
 
@@ -99,16 +144,18 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def training_sample(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> DataFrame:
+def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """Bounded rows (lang, cells) to learn from. The rank's limit is applied before its shuffle."""
     rows = pick(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     rows = rows.withColumn("at", F.struct(F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    # The rank moves hashes only, at most per_lang a language from each task; texts are read for the few.
-    by = Window.partitionBy("lang").orderBy("at")
-    few = rows.select("lang", "at").withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_lang)
-    last = few.groupBy("lang").agg(F.max("at").alias("last")).join(F.broadcast(langs.select("lang")), "lang")
-    few = rows.join(F.broadcast(last), "lang").where(F.col("at") <= F.col("last")).withColumn("k", F.col("at.col1"))
+    # The ranks move hashes only, and a language's come to one task from RANK_PARTS lists of at most
+    # per_lang each; texts are read for the few.
+    part = F.pmod(F.col("at.col1"), F.lit(RANK_PARTS))
+    few = rows.select("lang", "at").withColumn("k", F.row_number().over(Window.partitionBy("lang", part).orderBy("at"))).where(F.col("k") <= per_lang)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("k") <= per_lang)
+    last = few.groupBy("lang").agg(F.max("at").alias("last"))
+    last = small(materialize(docs.sparkSession, last, "language-last"))
+    few = rows.join(last, "lang").where(F.col("at") <= F.col("last")).withColumn("k", F.col("at.col1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,11 +168,12 @@ def training_sample(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int =
 def identify(spark: SparkSession, docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score.
 
-    Null texts and texts without a letter are ``und`` with score 0, and so is every text if there is
-    nothing to learn from. Repeated rows give repeated result rows.
+    ``doc_id`` is an integer. Null texts and texts without a letter are ``und`` with score 0, and so is
+    every text if there is nothing to learn from. Of languages with the same score the first by name is
+    taken. Texts may be of any length. Repeated rows give repeated result rows, and equal texts equal
+    predictions; an empty table gives no rows. Further columns are not read.
     """
-    sample = sorted(training_sample(docs, per_lang).collect(), key=lambda r: (r["lang"], r["k"]))
-    model = fit([np.array(r["cells"]) for r in sample], [r["lang"] for r in sample], landmarks) if sample else None
+    model = fit(spark, materialize(spark, training_sample(docs, per_lang), "language-sample"), landmarks)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

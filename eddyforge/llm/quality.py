@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 ORDER = 4
 #: Symbols are 16 bits each.
@@ -52,8 +52,6 @@ HELD = 1 << 20
 DISTINCT = 1 << 20
 #: n-grams of one broadcast.
 SHARD_ROWS = 4_000_000
-#: Languages up to which a table of one row each is broadcast; beyond, it is joined as it comes.
-FEW_LANGS = 100_000
 
 
 def _fold() -> np.ndarray:
@@ -370,7 +368,7 @@ def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
     # Bins are whole numbers below 28 / STEP, so an exact median holds that many counts at most.
     middle = lambda x: F.expr(f"percentile_disc(0.5) within group (order by {x})")
     mid = ok.groupBy("grp").agg(middle("bin").alias("mid"), F.count(F.lit(1)).alias("docs"))
-    off = ok.join(_small(mid), "grp").withColumn("off", F.col("bin") - F.col("mid"))
+    off = ok.join(small(materialize(scored.sparkSession, mid, "quality-middles")), "grp").withColumn("off", F.col("bin") - F.col("mid"))
     low, high = middle("case when off <= 0 then -off end"), middle("case when off >= 0 then off end")
     pooled = off.agg(low.alias("all_low"), high.alias("all_high"))
     sides = off.groupBy("grp").agg(low.alias("low"), high.alias("high"), F.first("mid").alias("mid"), F.first("docs").alias("docs")).crossJoin(F.broadcast(pooled))  # one row
@@ -378,14 +376,9 @@ def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
     return sides.select("grp", (F.col("mid") * STEP - half("low", "all_low")).alias("lower"), (F.col("mid") * STEP + half("high", "all_high")).alias("upper"))
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A table of one row a language: broadcast if there are few."""
-    return F.broadcast(table) if table.limit(FEW_LANGS + 1).count() <= FEW_LANGS else table
-
-
 def judged(spark: SparkSession, scored: DataFrame, width: float) -> DataFrame:
     """Scored rows with base_failed, kept, lower, upper. ``scored`` should be a table that is written."""
-    limits = _small(materialize(spark, bands(scored, width), "quality-bands"))
+    limits = small(materialize(spark, bands(scored, width), "quality-bands"))
     out = scored.join(limits, "grp", "left").withColumn("base_failed", base_failed())
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside)

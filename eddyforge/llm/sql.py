@@ -83,10 +83,20 @@ spot AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS words
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 occ AS (SELECT a.doc_id, a.i, a.n, x.item FROM spot a JOIN win x ON x.n = a.n AND x.words = a.words),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
-items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY doc_id)
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY doc_id),
+place AS (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM d),
+numbered AS (SELECT row_number() OVER () AS win, item, n, string_split(words, ' ') AS w FROM win),
+part AS (SELECT win, item, n, unnest(w) AS term, unnest(range(0, n)) AS j FROM numbered),
+freq AS (SELECT term, count(*) AS n FROM place GROUP BY term),
+anchor AS (SELECT p.win, arg_min(p.term, coalesce(f.n, 0) * 1000 + p.j) AS term, arg_min(p.j, coalesce(f.n, 0) * 1000 + p.j) AS j FROM part p LEFT JOIN freq f ON f.term = p.term GROUP BY p.win),
+start AS (SELECT DISTINCT a.win, t.doc_id, t.p - a.j + o.off AS s FROM anchor a JOIN place t ON t.term = a.term, (SELECT unnest(range(-2, 3)) AS off) o),
+close AS (SELECT s.win, s.doc_id, s.s FROM start s JOIN part q ON q.win = s.win
+  JOIN place t ON t.doc_id = s.doc_id AND t.term = q.term AND t.p BETWEEN s.s + q.j - 2 AND s.s + q.j + 2
+  GROUP BY s.win, s.doc_id, s.s, q.n HAVING count(DISTINCT q.j) = q.n),
+near AS (SELECT c.doc_id, count(DISTINCT x.item) AS n_near_items FROM close c JOIN numbered x ON x.win = c.win GROUP BY c.doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
-  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, coalesce(x.n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id LEFT JOIN near x ON x.doc_id = d.doc_id
 """
 
 

@@ -527,14 +527,35 @@ def test_contamination_across_small_shards(spark, sf_dir):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha beta gamma"), (3, "gamma far away from alpha and beta")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    hit = lambda slop: sorted(r["doc_id"] for r in table(decontaminate.decontaminate(spark, docs, bench, slop=slop)) if r["contaminated"])
+    hit = lambda slop: sorted(r["doc_id"] for r in table(decontaminate.decontaminate(spark, docs, bench, slop=slop)) if r["n_near_items"])
     assert hit(0) == [2] and hit(1) == [1, 2]
+    exact = table(decontaminate.decontaminate(spark, docs, bench))
+    assert sorted(r["doc_id"] for r in exact if r["contaminated"]) == [2]
+
+
+@pytest.mark.parametrize("slop", [1, 2])
+def test_proximity_equals_brute_force(spark, slop):
+    rng = random.Random(slop)
+    rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 40)))) for i in range(60)]
+    items = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 14)))) for i in range(25)]
+    want = {}
+    for i, text in rows:
+        w, near_items = text.split(), set()
+        for k, item in items:
+            t = item.split()
+            for b in range(max(1, len(t) - 9)):
+                win = t[b : b + 10]
+                if any(all(any(0 <= s + j + o < len(w) and w[s + j + o] == x for o in range(-slop, slop + 1)) for j, x in enumerate(win)) for s in range(-slop - 10, len(w) + slop)):
+                    near_items.add(k)
+        want[i] = len(near_items)
+    got = table(decontaminate.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slop=slop))
+    assert {r["doc_id"]: r["n_near_items"] for r in got} == want and sum(want.values()) > 60
 
 
 def test_empty_benchmark(spark):
     r = table(decontaminate.decontaminate(spark, brute.docs(spark), spark.createDataFrame([], "item_id long, text string")))
     assert len(r) == len(brute.NASTY) and not any(x["contaminated"] for x in r)
-    kept = decontaminate.keep_clean(spark, brute.docs(spark), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    kept = decontaminate.keep_clean(spark, brute.docs(spark).withColumn("row", F.lit(1)).withColumn("bad_row", F.lit(1)).withColumn("__bad", F.lit(1)), spark.createDataFrame(ITEMS, "item_id long, text string"))
     assert "line" in kept.columns and {r["doc_id"] for r in table(kept)} == {1, 2, 3, 6, 8}
 
 
@@ -765,6 +786,55 @@ def test_language(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_scores_equal_a_kernel_regression(spark):
+    """Nyström features and ridge weights, computed again from n-gram cells with plain kernels."""
+    rng = random.Random(6)
+    words = {"aa": "the and of house water", "bb": "der und von haus wasser", "cc": "le et de maison eau"}
+    rows = [(i, " ".join(rng.choice(words[k].split()) for _ in range(rng.randrange(3, 9))), k) for i in range(90) for k in [rng.choice(list(words))]]
+    rows += [(200, rows[0][1], None), (201, rows[0][1], None), (7, rows[7][1], rows[7][2]), (300, "water " * 20000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("k", F.lit(1)).withColumn("cells", F.lit("x")).withColumn("at", F.lit(2))
+    got = table(language.identify(spark, df, landmarks=20))
+    sample = sorted(table(language.training_sample(df)), key=lambda r: (r["lang"], r["k"]))
+
+    def kernel(x, y):
+        return sum(len(a & b) / (len(a) * len(b)) ** 0.5 for a, b in zip(x, y) if a and b) / 3
+
+    split = lambda cells: [{c for c in cells if sum(language.CELLS[: n - 1]) <= c < sum(language.CELLS[:n])} for n in (1, 2, 3)]
+    spectra, langs = [split(r["cells"]) for r in sample], [r["lang"] for r in sample]
+    turn = Counter()
+    order = []
+    for i, k in enumerate(langs):
+        order.append((turn[k], k, i))
+        turn[k] += 1
+    marks = [spectra[i] for _, _, i in sorted(order)[:20]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    good = values > 1e-8 * values.max()
+    white = vectors[:, good] / np.sqrt(values[good])
+    phi = lambda x: np.append(np.array([kernel(x, m) for m in marks]) @ white, 1)
+    a = np.array([phi(x) for x in spectra])
+    names = sorted(words)
+    y = np.array([[1.0 if k == n else -1.0 for n in names] for k in langs])
+    shrink = language.RIDGE * len(a) * np.diag([1.0] * (a.shape[1] - 1) + [0.0])
+    weights = np.linalg.solve(a.T @ a + shrink + 1e-9 * np.eye(a.shape[1]), a.T @ y)
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    for i, text, _ in rows:
+        f = phi(split(language.presence(text).tolist())) @ weights
+        assert by[i]["score"] == pytest.approx(min(1, max(0, (f.max() + 1) / 2)), abs=2e-3)
+        top = np.sort(f)
+        if top[-1] - top[-2] > 0.01:
+            assert by[i]["lang_pred"] == names[int(f.argmax())]
+    assert by[200]["lang_pred"] == by[201]["lang_pred"] == by[0]["lang_pred"] and by[200]["score"] == by[0]["score"]
+
+
+def test_many_languages_are_learned(spark):
+    """No cap: a hundred languages, each of an alphabet's two letters."""
+    rows = [(100 * k + j, " ".join([chr(0x4E00 + 2 * k) * 3, chr(0x4E00 + 2 * k + 1) * 2] * (j + 1)), f"l{k:03d}") for k in range(100) for j in range(6)]
+    got = table(language.identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    right = {r[0]: r[2] for r in rows}
+    assert sum(r["lang_pred"] == right[r["doc_id"]] for r in got) >= 0.95 * len(rows)
+
+
 def test_language_with_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r["lang_pred"], r["score"]) for r in table(language.identify(spark, df))] == [("und", 0.0)]
