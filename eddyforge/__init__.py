@@ -1 +1 @@
-"""Eddyforge: flux-tower time series as DataFrames, and the text operators in ``eddyforge.llm``."""
+"""A PySpark engine for flux-tower time series."""

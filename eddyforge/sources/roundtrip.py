@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import default
+from ..errors import ReadError
 from .delimited import read_samples
 from .events import event_rows
 
@@ -16,9 +17,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found.rstrip("/") if found else "file://" + _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="eddyforge-"))
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ReadError("spark.checkpoint.dir is not set: no folder that all executors share")
+    return "file://" + _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="eddyforge-"))
 
 
 def csv_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
