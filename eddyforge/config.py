@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import configparser
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from types import SimpleNamespace
 
@@ -16,6 +17,8 @@ from .errors import ConfigError
 
 SERIES = ("u", "v", "w", "ts", "ta", "p_air", "co2", "h2o", "t_cell", "p_cell")
 GASES = ("co2", "h2o")
+#: State of the analyser's cell: used to convert densities, never a signal of its own.
+CELL = ("t_cell", "p_cell")
 
 #: Sections, keys, kinds and defaults. Tuples are choices; None means not set.
 KEYS: dict[str, dict[str, tuple[object, object]]] = {
@@ -180,35 +183,52 @@ def _lag_key(key: str) -> bool:
     return any(key == f"{s}_{n}" for s in SERIES for n in LAG_DEFAULTS)
 
 
+def _number(name: str, value: str, of: Callable[[str], float], what: str) -> float:
+    try:
+        number = of(value)
+    except ValueError:
+        raise ConfigError(f"{name} is {value!r}, not {what}") from None
+    if not math.isfinite(number):
+        raise ConfigError(f"{name} is not finite")
+    return number
+
+
+def _choice(name: str, value: str, choices: tuple[str, ...]) -> str:
+    by_lower = {c.lower(): c for c in choices}
+    if value.lower() not in by_lower:
+        raise ConfigError(f"{name} is {value!r}; choose one of {', '.join(choices)}")
+    return by_lower[value.lower()]
+
+
+def _flag(name: str, value: str) -> bool:
+    if value.lower() not in _BOOLS:
+        raise ConfigError(f"{name} is {value!r}; it is true or false")
+    return _BOOLS[value.lower()]
+
+
+def _char(name: str, value: str) -> str:
+    plain = {"\\t": "\t", "\\;": ";", "\\#": "#"}.get(value, value)
+    if len(plain) != 1:
+        raise ConfigError(f"{name} is {value!r}, not one character")
+    return plain
+
+
+#: What reads a value of each kind, from the key's name and the stripped text.
+PARSERS: dict[str, Callable[[str, str], object]] = {
+    "int": lambda name, value: _number(name, value, int, "a whole number"),
+    "float": lambda name, value: _number(name, value, float, "a number"),
+    "bool": _flag,
+    "char": _char,
+    "names": lambda _, value: tuple(x.strip() for x in value.split(",") if x.strip()),
+    "tokens": lambda _, value: tuple(x.strip() for x in value.split(",")),
+}
+
+
 def _coerce(name: str, kind: object, text: str) -> object:
-    value = text.strip()
+    """A kind is a tuple of choices or the name of a parser; any other kind leaves the text as it is."""
     if isinstance(kind, tuple):
-        for choice in kind:
-            if choice.lower() == value.lower():
-                return choice
-        raise ConfigError(f"{name} is {value!r}; choose one of {', '.join(kind)}")
-    if kind == "bool":
-        if value.lower() not in _BOOLS:
-            raise ConfigError(f"{name} is {value!r}; it is true or false")
-        return _BOOLS[value.lower()]
-    if kind in ("int", "float"):
-        try:
-            number = int(value) if kind == "int" else float(value)
-        except ValueError:
-            raise ConfigError(f"{name} is {value!r}, not {'a whole number' if kind == 'int' else 'a number'}") from None
-        if not math.isfinite(number):
-            raise ConfigError(f"{name} is not finite")
-        return number
-    if kind == "char":
-        plain = {"\\t": "\t", "\\;": ";", "\\#": "#"}.get(value, value)
-        if len(plain) != 1:
-            raise ConfigError(f"{name} is {value!r}, not one character")
-        return plain
-    if kind == "names":
-        return tuple(x.strip() for x in value.split(",") if x.strip())
-    if kind == "tokens":
-        return tuple(x.strip() for x in value.split(","))
-    return value
+        return _choice(name, text.strip(), kind)
+    return PARSERS.get(kind, lambda _, value: value)(name, text.strip())
 
 
 def _derive(s: dict[str, SimpleNamespace]) -> Config:
@@ -243,6 +263,9 @@ def _derive(s: dict[str, SimpleNamespace]) -> Config:
     else:
         displacement = 0.0
         warnings.append("neither site.displacement_height nor site.canopy_height is positive; displacement is 0")
+    cell = [n for n in CELL if getattr(s["variables"], n) is not None]
+    if cell and not convert:
+        warnings.append(f"{' and '.join(f'variables.{n}' for n in cell)}: no closed-path density is declared, so the cell's state is not used")
     lags = {}
     for scalar, w in s["lag"].windows.items():
         if w["min_s"] > w["max_s"]:
@@ -274,10 +297,11 @@ def _validate(c: Config) -> None:
     if c.despike.q <= 0:
         raise ConfigError("despike.q must be positive")
     for section, names in (("despike.variables", c.despike.variables), ("lag.scalars", c.lag.scalars), ("detrend.variables", c.detrend.variables), ("qc.steady_state_pair", c.qc.steady_state_pair)):
+        allowed = [n for n in SERIES if n not in CELL]
         for n in names:
-            if n not in SERIES:
-                raise ConfigError(f"{section} has {n!r}; known are {', '.join(SERIES)}")
-        if len(set(names)) != len(names):
+            if n not in allowed:
+                raise ConfigError(f"{section} has {n!r}; known are {', '.join(allowed)}")
+        if section != "qc.steady_state_pair" and len(set(names)) != len(names):
             raise ConfigError(f"{section} repeats a name")
     for n in c.detrend.variables:
         if n in ("ta", "p_air"):

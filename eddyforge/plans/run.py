@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import SERIES, Config
 from ..errors import StepError
@@ -87,22 +89,43 @@ def apply_step(step: str | Step, df: DataFrame, cfg: Config) -> DataFrame:
 
 
 def user_step(function: Callable[[dict[str, object], Config], dict[str, object]], schema: str | T.StructType) -> Step:
-    """A step from a function of one period's numpy arrays (by column name), run where the period is."""
+    """A step from a function of one period's numpy arrays (by column name), run where the period is.
+
+    If the function raises, that is logged and its period goes on without the step: columns that the
+    period has stay, the schema's others are missing.
+    """
 
     def step(df: DataFrame, cfg: Config) -> DataFrame:
+        wanted = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
         def each(table: pa.Table) -> pa.Table:
-            table = table.sort_by(INDEX)
-            got = function({n: table.column(n).to_numpy(zero_copy_only=False) for n in table.column_names}, cfg)
-            return pa.table(dict(got))
+            if INDEX in table.column_names:
+                table = table.sort_by(INDEX)
+            try:
+                got = function({n: table.column(n).to_numpy(zero_copy_only=False) for n in table.column_names}, cfg)
+                return pa.table(dict(got))
+            except Exception:
+                logging.getLogger(__name__).exception("a step failed; its period goes on without it")
+            if INDEX in table.column_names and INDEX not in wanted.names:
+                table = table.slice(0, 1)  # the step makes one row of a period's samples
+            return pa.table([table.column(f.name).cast(f.type) if f.name in table.column_names else pa.nulls(table.num_rows, f.type) for f in wanted], names=wanted.names)
 
         return df.groupBy(*keys(df)).applyInArrow(each, schema)
 
     return step
 
 
-def summary(p: DataFrame, cut: DataFrame | None = None) -> DataFrame:
-    """One row: periods, samples, duplicates, spectral factors above what is plausible."""
+def summary(p: DataFrame, cut: DataFrame | None = None, min_samples: int = 0) -> DataFrame:
+    """One row: periods, samples, duplicates, spectral factors above what is plausible.
+
+    With ``cut``, the samples cut without a least number, also skipped_short, the periods that have
+    fewer than ``min_samples``, and rows, all samples that came in.
+    """
     from ..constants import IMPLAUSIBLE_FACTOR
 
     high = [F.coalesce(F.col(x) > IMPLAUSIBLE_FACTOR, F.lit(False)) for x in ("scf_co2", "scf_h2o")]
-    return p.agg(F.count(F.lit(1)).alias("periods"), F.sum("n_in").alias("samples"), F.sum("n_dup").alias("duplicates"), F.count_if(high[0] | high[1]).alias("warnings"))
+    out = p.agg(F.count(F.lit(1)).alias("periods"), F.sum("n_in").alias("samples"), F.sum("n_dup").alias("duplicates"), F.count_if(high[0] | high[1]).alias("warnings"))
+    if cut is None:
+        return out
+    each = cut.groupBy(*keys(cut)).agg(F.first("n_in").alias("n"), F.first("n_dup").alias("d"))
+    return out.crossJoin(each.agg(F.count_if(F.col("n") < min_samples).alias("skipped_short"), F.sum(F.col("n") + F.col("d")).alias("rows")))  # one row each

@@ -19,7 +19,7 @@ from .operators import samples as S
 from .operators.lag import apply_lags, find_lag, lag_curve
 from .operators.moments import summarise
 from .operators.thermo import QUANTITIES, thermodynamics
-from .plans import cut_periods, first_periods, late_rows, publish, run, summary
+from .plans import cut_periods, first_periods, late_rows, publish, run, summary, user_step
 from .queries_sql import DIGITS, ORACLES
 from .schema import COLUMNS
 from .sources import event_samples, parse_timestamp, to_dataframe
@@ -88,8 +88,8 @@ def monotone_dedupe(spark, d):
 
 
 def min_samples_filter(spark, d):
-    n = samples(spark, d).groupBy("period_end_us").agg(F.first("n_in").alias("n_in"))
-    return n.where(F.col("n_in") >= 340)
+    cfg = default(**_SITE, period__min_samples=340)
+    return samples(spark, d, cfg).groupBy("period_end_us").agg(F.first("n_in").alias("n_in"))
 
 
 def absent_column_fill(spark, d):
@@ -98,22 +98,28 @@ def absent_column_fill(spark, d):
     return per(cut_periods(e, cfg), F.count("v").alias("n_v"), F.count("p_air").alias("n_p"), F.round(F.avg("p_air"), 6).alias("p_mean"))
 
 
+def typed_cells(df: DataFrame, cfg: Config, tokens: dict[str, str]) -> DataFrame:
+    """Cells made from SQL expressions, one for each series, as the reader types them; event_id is the line."""
+    from .sources.delimited import typed
+
+    cells = F.array(F.lit("2024-01-01 00:00:00"), *[F.expr(t) for t in tokens.values()])
+    rows = df.select(F.lit("made up").alias("file"), F.col("event_id").alias("lineno"), F.lit("").alias("value"), cells.alias("cells"))
+    return typed(rows, cfg, {"__t": 0} | {n: k for k, n in enumerate(tokens, 1)}, {n: n for n in tokens})
+
+
 def unit_affine(spark, d):
     cfg = default(units__ts="degC", units__p_air="hPa", units__co2="mg/m3", units__h2o="g/m3", gases__co2_measure_type="molar_density", gases__h2o_measure_type="molar_density")
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select("event_id", *[F.round(F.col("value") * cfg.maps[n][0] * s + cfg.maps[n][1] * s, 9).alias(n) for n, s in (("ts", 1.0), ("p_air", 1.0), ("co2", 1e3), ("h2o", 1.0))])
+    t = typed_cells(e, cfg, {n: "cast(value as string)" for n in ("ts", "p_air", "co2", "h2o")})
+    return t.select(F.col("lineno").alias("event_id"), *[F.round(F.col(n) * s, 9).alias(n) for n, s in (("ts", 1.0), ("p_air", 1.0), ("co2", 1e3), ("h2o", 1.0))])
 
 
 def na_token_parse(spark, d):
     """Values as text, with missing tokens and odd numbers among them."""
-    from .sources.delimited import NUMBER
-
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "value")
-    k = F.col("event_id") % 8
-    token = F.when(k == 0, "-9999").when(k == 1, " NAN ").when(k == 2, "").when(k == 3, "1_0").when(k == 4, "1.0d").when(k == 5, "2.5e1").otherwise(F.concat(F.lit(" "), F.round("value", 2).cast("decimal(10,2)").cast("string")))
-    t = F.trim(token)
-    missing = t.isin(list(DRY.files.na_values))
-    return e.select("event_id", F.when(~missing & t.rlike(NUMBER), t.try_cast("double")).alias("parsed"), (~missing & ~t.rlike(NUMBER)).alias("refused"))
+    token = """case event_id % 8 when 0 then '-9999' when 1 then ' NAN ' when 2 then '' when 3 then '1_0' when 4 then '1.0d' when 5 then '2.5e1'
+        else ' ' || cast(cast(round(value, 2) as decimal(10,2)) as string) end"""
+    t = typed_cells(spark.read.parquet(f"{d}/events.parquet"), DRY, {"u": token})
+    return t.select(F.col("lineno").alias("event_id"), F.col("u").alias("parsed"), F.col("error").isNotNull().alias("refused"))
 
 
 def timestamp_iso_parse(spark, d):
@@ -296,6 +302,52 @@ def run_summary(spark, d):
     return summary(period_rows(spark, d, SPECTRAL))
 
 
+def run_summary_short(spark, d):
+    """The summary of a run that leaves out short periods, with what was left out."""
+    cfg = default(**_SITE, period__min_samples=340)
+    return summary(run(samples(spark, d, cfg), cfg), samples(spark, d), 340)
+
+
+def observed_rate(spark, d):
+    """Rates of three files' samples as read, against a declared one that only some are near."""
+    from .sources.delimited import observed_rates
+
+    cfg = default(**(_SITE | {"period__acquisition_frequency": 0.0013}))
+    e = event_rows(spark, d).select((F.col("event_id") % 3).cast("string").alias("file"), F.col("event_id").alias("lineno"), "key_us", F.lit(None).cast("string").alias("error"))
+    return observed_rates(e, cfg).select("file", "n", F.round("rate", 12).alias("rate"), "off")
+
+
+def failed_step_rows(spark, d):
+    """A step that raises on every second day: its periods still have their rows."""
+
+    def step(x, cfg):
+        if x["period_end_us"][0] // 86_400_000_000 % 2:
+            raise ValueError("made up")
+        return {"period_end_us": x["period_end_us"], "n": x["n"], "twice": x["n"] * 2.0}
+
+    p = per(samples(spark, d), F.count(F.lit(1)).alias("n"))
+    return user_step(step, "period_end_us long, n long, twice double")(p, DRY)
+
+
+def csv_cells(spark, d):
+    """Cells of the file that the CSV writer makes, and the unit of each column from the file beside it."""
+    import csv
+    import tempfile
+
+    from .sinks import write_csv
+    from .sinks.table import units_path
+
+    names = ("TIMESTAMP_START", "TIMESTAMP_END", "N_IN", "SCF_CO2")
+    with tempfile.TemporaryDirectory() as folder:  # the writer's file is the driver's
+        write_csv(publish(period_rows(spark, d), DRY), DRY, f"{folder}/table.csv")
+        with open(f"{folder}/table.csv", encoding="utf-8", newline="") as f:
+            rows = [[r[n] for n in names] for r in csv.DictReader(f)]
+        with open(units_path(f"{folder}/table.csv"), encoding="utf-8", newline="") as f:
+            units = {r["name"]: r["unit"] for r in csv.DictReader(f)}
+    rows = [[*r, len(units)] for r in rows]
+    return spark.createDataFrame(rows, ", ".join(f"{n.lower()} string" for n in names) + ", n_units long")
+
+
 def flux_table_native(spark, d):
     """The table by window functions and joins alone, without a Python worker."""
     return _published(publish(run(samples(spark, d), DRY, "native"), DRY), {n: s for n, s, _ in COLUMNS})
@@ -348,7 +400,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         period_cut_right, period_cut_left, monotone_dedupe, min_samples_filter, absent_column_fill, unit_affine, na_token_parse, timestamp_iso_parse, timestamp_numeric_parse,
         finite_counts, nan_means, medians, mad, variances, covariances, joint_counts, friction_velocity, despike_counts, despike_series, despike_trailing_run, wind_vector,
         double_rotation, lag_curve_co2, lag_select, lag_shift, linear_detrend, cell_conversion, thermo_state, thermo_density, thermo_scalars, flux_assembly, obukhov, wpl_open_path,
-        wpl_off_withheld, spectral_factor, steady_state, itc, flux_table, flux_table_closed_path, first_three_periods, run_summary, flux_table_native, lag_shift_native, late_samples, sample_times,
+        wpl_off_withheld, spectral_factor, steady_state, itc, flux_table, flux_table_closed_path, first_three_periods, run_summary, run_summary_short, observed_rate, failed_step_rows, csv_cells, flux_table_native, lag_shift_native, late_samples, sample_times,
         rotation_check, ieee_division, csv_roundtrip, streaming_periods,
     )
 }

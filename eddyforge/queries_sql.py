@@ -224,6 +224,10 @@ ORACLES: dict[str, str] = {
     "flux_table": w(periods(), f"SELECT {table()} FROM pr"),
     "flux_table_closed_path": w(periods(cell=True), f"SELECT {table()} FROM pr"),
     "first_three_periods": w(chain(), f"SELECT {P}, count(*) AS n FROM smp GROUP BY {P} ORDER BY {P} LIMIT 3"),
+    "run_summary_short": w(chain(), f"SELECT count(*) FILTER (WHERE n >= 340) AS periods, (sum(n) FILTER (WHERE n >= 340))::BIGINT AS samples, CASE WHEN count(*) FILTER (WHERE n >= 340) > 0 THEN 0::BIGINT END AS duplicates, 0::BIGINT AS warnings, count(*) FILTER (WHERE n < 340) AS skipped_short, sum(n)::BIGINT AS rows FROM (SELECT {P}, count(*) AS n FROM smp GROUP BY {P})"),
+    "observed_rate": "WITH e AS (SELECT (event_id % 3)::VARCHAR AS file, event_id, epoch_us(ts) AS k FROM events), g AS (SELECT file, count(*) AS n, arg_min(k, event_id) AS a, arg_max(k, event_id) AS b FROM e GROUP BY file) SELECT file, n, round((n - 1) * 1000000.0::DOUBLE / (b - a), 12) AS rate, abs((n - 1) * 1000000.0::DOUBLE / (b - a) - 0.0013::DOUBLE) > 0.01::DOUBLE * 0.0013::DOUBLE AS off FROM g",
+    "failed_step_rows": w(chain(), f"SELECT {P}, count(*) AS n, CASE WHEN {P} // 86400000000 % 2 = 0 THEN count(*) * 2.0::DOUBLE END AS twice FROM smp GROUP BY {P}"),
+    "csv_cells": w(chain(), f"SELECT strftime(make_timestamp({P} - 86400000000), '%Y%m%d%H%M') AS timestamp_start, strftime(make_timestamp({P}), '%Y%m%d%H%M') AS timestamp_end, count(*)::VARCHAR AS n_in, '-9999' AS scf_co2, 62::BIGINT AS n_units FROM smp GROUP BY {P}"),
     "run_summary": w(periods(spectral=True), "SELECT count(*) AS periods, sum(n_in)::BIGINT AS samples, 0::BIGINT AS duplicates, count_if(scf_co2 > 2 OR scf_h2o > 2) AS warnings FROM pr"),
     "flux_table_native": w(periods(), f"SELECT {table()} FROM pr"),
     "lag_shift_native": w(chain(), "SELECT event_id, lc AS co2_lag_samples, round(co2 * 1e6, 6) AS co2 FROM sh"),

@@ -7,9 +7,12 @@ header text, types, units, missing tokens; whatever doesn't fit is an error row
 
 from __future__ import annotations
 
+import codecs
 import csv
 import glob
 import io
+import uuid
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ from ..errors import ReadError
 from ..plans.cut import cut_periods, late_rows
 from .timestamps import parse_timestamp
 
+#: Files that are named in warnings about their rate.
+RATE_WARNINGS = 20
 NUMBER = r"(?i)^[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf|infinity|nan)$"
 
 
@@ -40,6 +45,10 @@ def lines(spark: SparkSession, cfg: Config, quoted_newlines: bool = False) -> Da
     With ``quoted_newlines`` a cell in quotes may hold line breaks; then a file can't be split, is read
     by one task and has to be UTF-8. A record's number is that of its first line.
     """
+    try:
+        codecs.lookup(cfg.files.encoding)
+    except LookupError:
+        raise ReadError(f"files.encoding {cfg.files.encoding!r} is not a known encoding") from None
     if quoted_newlines:
         return _records(spark, cfg)
     plain = cfg.files.encoding.lower().replace("_", "-") in ("utf-8", "utf8", "utf-8-sig", "ascii", "us-ascii")
@@ -105,17 +114,25 @@ def parse(spark: SparkSession, cfg: Config, quoted_newlines: bool = False) -> Da
                 raise ReadError(f"column {title!r} is not in the header: {', '.join(cells)}")
             at[name] = cells.index(title)
         one = data.where(F.col("header") == header).withColumn("cells", split_line(F.col("value"), cfg.files.delimiter, cfg.files.quotechar))
-        part = _typed(one, cfg, at, wanted)
+        part = typed(one, cfg, at, wanted)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _typed(df: DataFrame, cfg: Config, at: dict[str, int], wanted: dict[str, str]) -> DataFrame:
+#: A line of this error is part of a record with line breaks in a quoted cell, or such a record's quote is never closed.
+OPEN_QUOTE = "a quoted cell is not closed on this line"
+
+
+def typed(df: DataFrame, cfg: Config, at: dict[str, int], wanted: dict[str, str]) -> DataFrame:
+    """(file, lineno, key_us, series..., error) from rows (file, lineno, value, cells): missing tokens,
+    strict numbers and unit maps. ``at`` has the place of each series' cell and of ``__t``, the timestamp."""
     short = F.size("cells") <= max(at.values())
     cell = lambda n: F.trim(F.get(F.col("cells"), F.lit(at[n])))
     stamp = parse_timestamp(cell("__t"), cfg.timestamp.format)
     df = df.withColumns({"key_us": stamp} | {f"__{n}": cell(n) for n in wanted})
-    error = F.when(short, F.lit("the line has too few cells")).when(F.col("key_us").isNull(), F.concat(F.lit("not a timestamp: "), F.coalesce(cell("__t"), F.lit(""))))
+    quotes = F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit(cfg.files.quotechar)))
+    error = F.when(~F.is_valid_utf8("value"), F.lit("the line is not text in the declared encoding")).when(quotes % 2 == 1, F.lit(OPEN_QUOTE))
+    error = error.when(short, F.lit("the line has too few cells")).when(F.col("key_us").isNull(), F.concat(F.lit("not a timestamp: "), F.coalesce(cell("__t"), F.lit(""))))
     values = {}
     for n, title in wanted.items():
         token = F.col(f"__{n}")
@@ -147,18 +164,44 @@ def observed_rates(rows: DataFrame, cfg: Config) -> DataFrame:
     return g.select("file", "n", rate.alias("rate"), F.coalesce(F.abs(rate - f) > RATE_TOLERANCE * f, F.lit(False)).alias("off"))
 
 
-def read_samples(spark: SparkSession, cfg: Config, on_error: str = "raise", quoted_newlines: bool = False) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that several checks cost one parse."""
+    from .roundtrip import shared_dir
+
+    path = f"{shared_dir(spark)}/eddyforge-rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def read_samples(spark: SparkSession, cfg: Config, on_error: str = "raise", quoted_newlines: bool | None = None) -> DataFrame:
     """Cut samples of all files. ``raise`` stops at the first bad or late line, by file order and line
-    number; ``quarantine`` leaves such lines to ``sample_errors`` and ``late_rows``."""
-    rows = parse(spark, cfg, quoted_newlines)
-    good = rows.where("error is null").drop("error").join(file_ranks(rows), "file")
+    number; ``quarantine`` leaves such lines to ``sample_errors`` and ``late_rows``.
+
+    Files are parsed once, line by line in parallel, into a table that the checks and the result read.
+    Only where a line leaves a quote open are they parsed again as records with line breaks in quoted
+    cells; ``quoted_newlines`` true or false decides it beforehand. Files whose rate is off the declared
+    one give a warning.
+    """
+    if on_error not in ("raise", "quarantine"):
+        raise ValueError("on_error is 'raise' or 'quarantine'")
+    try:
+        rows = written(spark, parse(spark, cfg, bool(quoted_newlines)))
+        again = quoted_newlines is None and not rows.where(F.col("error") == OPEN_QUOTE).isEmpty()
+    except ReadError:  # a header may have line breaks too
+        if quoted_newlines is not None:
+            raise
+        again = True
+    if again:
+        rows = written(spark, parse(spark, cfg, True))
+    ranks = file_ranks(rows)
+    good = rows.where("error is null").drop("error").join(ranks, "file")
     if on_error == "raise":
-        bad = rows.where("error is not null").join(file_ranks(rows), "file").orderBy("file_rank", "lineno").first()
+        bad = rows.where("error is not null").join(ranks, "file").orderBy("file_rank", "lineno").first()
         if bad is not None:
             raise ReadError(f"{bad['file']}, line {bad['lineno']}: {bad['error']}")
         late = late_rows(good, cfg).orderBy("file_rank", "lineno").first()
         if late is not None:
             raise ReadError(f"{late['file']}, line {late['lineno']}: the sample belongs to a period that is over")
-    elif on_error != "quarantine":
-        raise ValueError("on_error is 'raise' or 'quarantine'")
+    for r in observed_rates(rows, cfg).where("off").orderBy("file").limit(RATE_WARNINGS).collect():
+        warnings.warn(f"{r['file']}: {r['rate']:.6g} samples a second, declared are {cfg.period.acquisition_frequency:.6g}", stacklevel=2)
     return cut_periods(good, cfg, ("file_rank", "lineno"))

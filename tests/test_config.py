@@ -61,6 +61,9 @@ def test_mass_density_divides_by_molar_mass():
         ({"despike__q": 0}, "must be positive"),
         ({"despike__variables": "u,x"}, "known are"),
         ({"despike__variables": "u,u"}, "repeats"),
+        ({"despike__variables": "u,t_cell"}, "known are"),
+        ({"lag__scalars": "co2,t_cell"}, "known are"),
+        ({"qc__steady_state_pair": "w,p_cell"}, "known are"),
         ({"despike__enabled": "maybe"}, "true or false"),
         ({"detrend__variables": "u,ta"}, "can't hold ta"),
         ({"qc__steady_state_pair": "w"}, "two names"),
@@ -78,6 +81,16 @@ def test_refusals(changes, says):
         default(**changes)
 
 
+def test_a_steady_state_pair_may_repeat_a_name():
+    assert default(qc__steady_state_pair="w,w").qc.steady_state_pair == ("w", "w")
+
+
+def test_a_cell_that_is_not_used_warns():
+    assert any("t_cell" in w for w in default(variables__t_cell="T").warnings)
+    used = default(gases__co2_measure_type="molar_density", units__co2="mmol/m3", gases__analyser_path="closed", variables__t_cell="T", variables__p_cell="P")
+    assert not any("t_cell" in w for w in used.warnings)
+
+
 def test_output_is_required():
     with pytest.raises(ConfigError, match="files.output_csv is required"):
         build({})

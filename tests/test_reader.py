@@ -120,6 +120,30 @@ def test_newlines_in_quotes(spark, tmp_path):
     assert [r["u"] for r in read_samples(spark, cfg, "quarantine", quoted_newlines=True).collect()] == [1.5]
     with pytest.raises(ReadError, match="line 5: column Ux"):
         read_samples(spark, cfg, quoted_newlines=True)
+    with pytest.raises(ReadError, match="line 5: column Ux"):
+        read_samples(spark, cfg)
+
+
+def test_newlines_in_quoted_cells_need_no_argument(spark, tmp_path):
+    write(tmp_path, "a.dat", ['2025-01-01 00:00:01,1.5,0,0,300,400,10,99000,"a', 'b"', '2025-01-01 00:00:02,2.5,0,0,300,400,10,99000,"c"'], HEAD + ",Note")
+    assert [r["u"] for r in read_samples(spark, cfg_of(tmp_path)).orderBy("i").collect()] == [1.5, 2.5]
+    with pytest.raises(ReadError, match="line 2: a quoted cell is not closed"):
+        read_samples(spark, cfg_of(tmp_path), quoted_newlines=False)
+
+
+def test_undecodable_bytes_and_unknown_encodings(spark, tmp_path):
+    (tmp_path / "a.dat").write_bytes((HEAD + "\n" + line("2025-01-01 00:00:01") + "\n").encode() + b"2025-01-01 00:00:02,1,0,0,300,400,10,99000,\xff\xfe\n")
+    with pytest.raises(ReadError, match="a.dat, line 3: the line is not text"):
+        read_samples(spark, cfg_of(tmp_path))
+    assert read_samples(spark, cfg_of(tmp_path), "quarantine").count() == 1
+    with pytest.raises(ReadError, match="not a known encoding"):
+        read_samples(spark, cfg_of(tmp_path, files__encoding="utf-99"))
+
+
+def test_a_rate_that_is_off_warns(spark, tmp_path):
+    write(tmp_path, "a.dat", [line(f"2025-01-01 00:00:{s:02}") for s in range(1, 30, 2)])
+    with pytest.warns(UserWarning, match="a.dat: 0.5 samples a second, declared are 1"):
+        read_samples(spark, cfg_of(tmp_path))
 
 
 @pytest.mark.parametrize("encoding", ["latin-1", "utf-16-le"])

@@ -205,6 +205,19 @@ def test_user_steps_run(spark):
     assert step(df, CFG).count() == 2
 
 
+def test_a_step_that_raises_leaves_the_row(spark):
+    df, _ = frame(spark)
+
+    def fails(x, cfg):
+        raise ValueError("made up")
+
+    rows = user_step(fails, "period_end_us long, top double")(df, CFG).collect()
+    assert len(rows) == 2 and all(r["top"] is None for r in rows)
+    p = run(df, CFG)
+    out = publish(run(df, CFG, period_steps=[user_step(fails, p.schema)]), CFG)
+    assert sorted(map(str, out.collect())) == sorted(map(str, publish(p, CFG).collect()))
+
+
 def test_sites_are_kept_apart(spark):
     df, _ = frame(spark)
     raw = df.select("key_us", *SERIES)
