@@ -7,8 +7,9 @@ against the rest. The n-grams are hashed to a fixed number of cells, so the land
 product folds into one weight matrix (cells x languages), and a batch of texts is scored by one
 matrix product.
 
-The classifier is fitted on a documented sample of labelled rows: at most PER_LANG a language, those
-with the smallest hash of doc_id. The sample stays with the executors: the driver gets the landmarks'
+The classifier is fitted on a documented sample of labelled rows: a language's rows whose hash lies in
+the share that makes PER_LANG of them expected (all, if it has fewer). Counting rows by language is all
+that this needs, so no language's rows meet in one task. The sample stays with the executors: the driver gets the landmarks'
 n-grams and, for the regression, sums of products of features with one another and for each language.
 Prediction reads every whole text and nothing else.
 """
@@ -19,14 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, pick, small
 
-#: Training rows of a language, landmarks of all languages. Ranks are taken in so many parts first.
+#: Training rows expected of a language, landmarks of all languages.
 PER_LANG = 400
-RANK_PARTS = 64
 LANDMARKS = 256
 RIDGE = 1e-3
 #: Hash cells of n-grams of length 1, 2, 3.
@@ -101,9 +101,8 @@ def solve(gram: np.ndarray, sums: np.ndarray, n: int, ridge: float = RIDGE) -> n
 
 def fit(spark: SparkSession, sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray] | None:
     """Names and weights (cells x languages) from rows (lang, k, cells); None without rows."""
-    # Landmarks alternate over the languages, in the order of the sample.
-    by = Window.partitionBy("lang").orderBy("k")
-    chosen = sample.withColumn("turn", F.row_number().over(by)).orderBy("turn", "lang").limit(landmarks).collect()
+    # ``k`` is a row's expected rank in its language, so the first ones are of all languages alike.
+    chosen = sample.orderBy("k", "lang").limit(landmarks).collect()
     if not chosen:
         return None
     z = features([np.array(r["cells"]) for r in chosen])
@@ -145,24 +144,19 @@ def held_out() -> Column:
 
 
 def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """Bounded rows (lang, cells) to learn from. The rank's limit is applied before its shuffle."""
+    """Rows (lang, k, cells) to learn from, ``per_lang`` expected of a language; rows of one doc_id and
+    text go together. ``k`` is a row's hash in the unit interval times the rows of its language."""
     rows = pick(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    rows = rows.withColumn("at", F.struct(F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")))
-    # The ranks move hashes only, and a language's come to one task from RANK_PARTS lists of at most
-    # per_lang each; texts are read for the few.
-    part = F.pmod(F.col("at.col1"), F.lit(RANK_PARTS))
-    few = rows.select("lang", "at").withColumn("k", F.row_number().over(Window.partitionBy("lang", part).orderBy("at"))).where(F.col("k") <= per_lang)
-    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("k") <= per_lang)
-    last = few.groupBy("lang").agg(F.max("at").alias("last"))
-    last = small(materialize(docs.sparkSession, last, "language-last"))
-    few = rows.join(last, "lang").where(F.col("at") <= F.col("last")).withColumn("k", F.col("at.col1"))
+    rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40))
+    sizes = small(materialize(docs.sparkSession, rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "language-sizes"))
+    few = rows.join(sizes, "lang").withColumn("k", F.col("u") * F.col("size")).where(F.col("k") < per_lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cells = [presence(t.as_py()).tolist() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cells, pa.list_(pa.int32()))], names=["lang", "k", "cells"])
 
-    return few.select("lang", "text", "k").mapInArrow(run, "lang string, k long, cells array<int>")
+    return few.select("lang", "text", "k").mapInArrow(run, "lang string, k double, cells array<int>")
 
 
 def identify(spark: SparkSession, docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> DataFrame:

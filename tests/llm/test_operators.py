@@ -801,12 +801,7 @@ def test_language_scores_equal_a_kernel_regression(spark):
 
     split = lambda cells: [{c for c in cells if sum(language.CELLS[: n - 1]) <= c < sum(language.CELLS[:n])} for n in (1, 2, 3)]
     spectra, langs = [split(r["cells"]) for r in sample], [r["lang"] for r in sample]
-    turn = Counter()
-    order = []
-    for i, k in enumerate(langs):
-        order.append((turn[k], k, i))
-        turn[k] += 1
-    marks = [spectra[i] for _, _, i in sorted(order)[:20]]
+    marks = [spectra[i] for _, _, i in sorted((r["k"], r["lang"], i) for i, r in enumerate(sample))[:20]]
     values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
     good = values > 1e-8 * values.max()
     white = vectors[:, good] / np.sqrt(values[good])
@@ -827,6 +822,12 @@ def test_language_scores_equal_a_kernel_regression(spark):
     assert by[200]["lang_pred"] == by[201]["lang_pred"] == by[0]["lang_pred"] and by[200]["score"] == by[0]["score"]
 
 
+def test_training_sample_has_the_expected_size(spark):
+    df = spark.range(30000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 10 < 7, "aa").when(F.col("id") % 10 < 9, "bb").otherwise(F.when(F.col("id") % 100 == 9, "cc")).alias("lang"))
+    n = Counter(r["lang"] for r in table(language.training_sample(df).select("lang")))
+    assert 320 < n["aa"] < 480 and 320 < n["bb"] < 480 and n["cc"] == df.where("lang = 'cc'").where(~language.held_out()).count() < 400
+
+
 def test_many_languages_are_learned(spark):
     """No cap: a hundred languages, each of an alphabet's two letters."""
     rows = [(100 * k + j, " ".join([chr(0x4E00 + 2 * k) * 3, chr(0x4E00 + 2 * k + 1) * 2] * (j + 1)), f"l{k:03d}") for k in range(100) for j in range(6)]
