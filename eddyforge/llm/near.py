@@ -11,7 +11,7 @@ that the dynamic programme finds for the corpus at hand.
 
 A group first links every member to its least one. What that connects is one component, and only
 pairs of different components are compared after it, in blocks, so a dense group of near copies makes
-linear rows; the links left connect the same documents as all links would.
+linear rows; the links left connect the same components as all links would.
 """
 
 from __future__ import annotations
@@ -92,27 +92,31 @@ def _alike(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("both") * 100 >= (F.col("all") - F.col("both")) * percent).select("a", "b")
 
 
-def links(spark: SparkSession, members: DataFrame, known: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links (a, b) that connect all near copies among ``members`` (grp, id, n, fp) of one group each;
-    ``known`` holds (id, hashes)."""
+def components(spark: SparkSession, members: DataFrame, known: DataFrame, percent: int, k: int) -> DataFrame:
+    """(id, component) of ``members`` (grp, id, n, fp), each of one group: the least id that near copies
+    of a group lead to; ``known`` holds (id, hashes)."""
     least = members.groupBy("grp").agg(F.min("id").alias("least"))
     met = materialize(spark, members.join(least, "grp"), "near-members")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     stars = met.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     stars = materialize(spark, _alike(stars, known, percent), "near-stars")
-    found = connected_components(spark, stars, "a", "b")
-    label = met.join(found, F.col("id") == F.col("node"), "left").select("grp", "id", "n", "fp", "least", F.coalesce("component", "id").alias("component"))
+    # A member is in one group, so a star's links are its component already.
+    label = met.join(stars.select(F.col("b").alias("id"), F.col("a").alias("component")), "id", "left")
+    label = label.select("grp", "id", "n", "fp", "least", F.coalesce("component", "id").alias("component"))
     label = materialize(spark, label, "near-labelled")
     mixed = label.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high")
-    label = label.where("id != least").join(mixed.select("grp", F.ceil(F.col("members") / BLOCK).cast("int").alias("nb")), "grp")
+    some = label.where("id != least").join(mixed.select("grp", F.ceil(F.col("members") / BLOCK).cast("int").alias("nb")), "grp")
     own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    x = label.select("grp", own.alias("p"), others.alias("q"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa"), F.col("component").alias("ca"))
-    y = label.select("grp", others.alias("p"), own.alias("q"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb"), F.col("component").alias("cb"))
+    x = some.select("grp", own.alias("p"), others.alias("q"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa"), F.col("component").alias("ca"))
+    y = some.select("grp", others.alias("p"), own.alias("q"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb"), F.col("component").alias("cb"))
     # The least member was compared with all others; sizes too far apart can't be similar.
     near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= k)
-    rest = x.join(y, ["grp", "p", "q"]).where(near).select("a", "b").distinct()
-    return stars.unionByName(_alike(rest, known, percent))
+    rest = materialize(spark, _alike(x.join(y, ["grp", "p", "q"]).where(near).select("a", "b").distinct(), known, percent), "near-rest")
+    of = label.select("id", "component")
+    rest = rest.join(of.select(F.col("id").alias("a"), F.col("component").alias("u")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("v")), "b")
+    found = connected_components(spark, rest.select("u", "v").distinct(), "u", "v").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return of.join(found, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, k: int = DISTANCE) -> DataFrame:
@@ -133,8 +137,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, wo
     known = sets(own, words).join(members.select("id", "key"), "key").select("id", "hashes").dropDuplicates(["id"])
     known = materialize(spark, known, "near-sets")
     members = members.join(known.select("id", F.size("hashes").cast("long").alias("n")), "id").select("grp", "id", "n", "fp")
-    found = connected_components(spark, links(spark, members, known, percent, k), "a", "b")
-    labelled = texts.join(found, F.col("id") == F.col("node"), "left").select("key", "first", F.coalesce("component", "id").alias("root"))
+    found = components(spark, members, known, percent, k)
+    labelled = texts.join(found, "id", "left").select("key", "first", F.coalesce("component", "id").alias("root"))
     labelled = materialize(spark, labelled, "near-found")
     firsts = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     keyed = labelled.join(firsts, "root").select("key", "component_id")

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
@@ -173,18 +173,12 @@ def plan_partitions(n: int, sample: np.ndarray, k: int = MAX_DISTANCE) -> list[t
 def links(spark: SparkSession, distinct: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
     """Edges (src, dst) between distinct fingerprints (column fp) that connect all within k bits."""
     n, sample = statistics(distinct)
-    rows = None
+    probes = []
     for i, (bits, t) in enumerate(plan_partitions(n, sample, k)):
-        mask = sum(1 << b for b in bits)
-        flips = [0]
-        for d in range(1, radius(t) + 1):
-            flips += [sum(1 << b for b in c) for c in itertools.combinations(bits, d)]
-        value = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-        part = distinct.select("fp", F.lit(i).alias("part"), value.alias("value"))
-        if len(flips) > 1:
-            part = part.select("fp", "part", F.explode(F.array(*[F.lit(_signed(x)) for x in flips])).alias("flip"), "value")
-            part = part.select("fp", "part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        rows = part if rows is None else rows.unionByName(part)
+        flips = [sum(1 << b for b in c) for d in range(radius(t) + 1) for c in itertools.combinations(bits, d)]
+        value = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
+        probes.append(F.transform(F.array(*[F.lit(_signed(x)) for x in flips]), _probe(i, value)))
+    rows = distinct.select("fp", F.inline(F.concat(*probes)))
     sizes = rows.groupBy("part", "value").count().where("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     met = rows.join(sizes, ["part", "value"]).select("fp", "part", "value", blocks.alias("nb"))
@@ -197,6 +191,10 @@ def links(spark: SparkSession, distinct: DataFrame, k: int = MAX_DISTANCE) -> Da
     return found.distinct()
 
 
+def _probe(part: int, value: Column):
+    return lambda flip: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(flip).alias("value"))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
