@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and all that the one before it kept. The first four return the
 columns of documents; the last one the encoded corpus.
+
+In every stage an empty table gives an empty one, further columns of any name stay, texts may be of any
+length, and rows that repeat a document are treated alike. Null and empty texts fail the quality rules;
+the later stages take them as texts without lines, words or pieces. Ties go to the smallest doc_id.
 """
 
 from __future__ import annotations
