@@ -170,15 +170,20 @@ def plan_partitions(n: int, sample: np.ndarray, k: int = MAX_DISTANCE) -> list[t
     return min(plans, key=lambda x: x[0])[1]
 
 
-def links(spark: SparkSession, distinct: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
-    """Edges (src, dst) between distinct fingerprints (column fp) that connect all within k bits."""
+def probes(distinct: DataFrame, k: int = MAX_DISTANCE) -> Column:
+    """Array of the (part, value) buckets in which column fp meets all within k bits."""
     n, sample = statistics(distinct)
-    probes = []
+    found = []
     for i, (bits, t) in enumerate(plan_partitions(n, sample, k)):
         flips = [sum(1 << b for b in c) for d in range(radius(t) + 1) for c in itertools.combinations(bits, d)]
         value = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        probes.append(F.transform(F.array(*[F.lit(_signed(x)) for x in flips]), _probe(i, value)))
-    rows = distinct.select("fp", F.inline(F.concat(*probes)))
+        found.append(F.transform(F.array(*[F.lit(_signed(x)) for x in flips]), _probe(i, value)))
+    return F.concat(*found)
+
+
+def links(spark: SparkSession, distinct: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
+    """Edges (src, dst) between distinct fingerprints (column fp) that connect all within k bits."""
+    rows = distinct.select("fp", F.inline(probes(distinct, k)))
     sizes = rows.groupBy("part", "value").count().where("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     met = rows.join(sizes, ["part", "value"]).select("fp", "part", "value", blocks.alias("nb"))
