@@ -25,7 +25,8 @@ def cut_periods(df: DataFrame, cfg: Config, order: tuple[str, ...] = ("key_us",)
 
     ``df`` has key_us and any of the ten series; ``order`` is the order of arrival. Within a period a
     sample is kept only if its key exceeds every key before it, so repeats and backward samples both
-    count as duplicates. Periods under ``min_samples`` go. Series that are not there are NULL, or the
+    count as duplicates; with ``equal_stamps = keep`` a key that equals the one before is a sample of its
+    own (sources where different samples share a stamp). Periods under ``min_samples`` go. Series that are not there are NULL, or the
     site's constant pressure. One shuffle, by period.
     """
     start, end = period_bounds(F.col("key_us"), cfg.window_us, cfg.period.closed)
@@ -34,12 +35,14 @@ def cut_periods(df: DataFrame, cfg: Config, order: tuple[str, ...] = ("key_us",)
     by = [SITE, PERIOD] if SITE in df.columns else [PERIOD]
     arrival = Window.partitionBy(*by).orderBy(*order)
     before = F.max("key_us").over(arrival.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("__kept", before.isNull() | (F.col("key_us") > before))
+    keep = cfg.period.equal_stamps == "keep"
+    df = df.withColumn("__kept", before.isNull() | (F.col("key_us") >= before if keep else F.col("key_us") > before))
     all_rows = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kept = F.count_if("__kept").over(all_rows)
     df = df.withColumns({"n_in": kept, "n_dup": F.count(F.lit(1)).over(all_rows) - kept}).where("__kept").drop("__kept")
-    # Kept keys rise, so the key itself is the order of what is kept.
-    df = df.withColumn(INDEX, F.row_number().over(Window.partitionBy(*by).orderBy("key_us")).cast("long") - 1)
+    # Kept keys rise, so the key itself is the order of what is kept; among equal ones it is arrival.
+    kept_order = order if keep else ("key_us",)
+    df = df.withColumn(INDEX, F.row_number().over(Window.partitionBy(*by).orderBy(*kept_order)).cast("long") - 1)
     if cfg.period.min_samples > 0:
         df = df.where(F.col("n_in") >= cfg.period.min_samples)
     return df
