@@ -4,9 +4,9 @@ Two strategies give the same figures:
 
 * ``arrow`` (default): a period's arrays go to one numpy function, which scans the lags and shifts
   the scalar in place. A row is moved once however wide the window is.
-* ``native``: the curve is an equi-join of each sample with its lagged partners, folded in order of
-  lag by a higher-order aggregate; the shift is a regrouping by the target index. It makes rows times
-  lags, so it is for narrow windows or where Python workers are not wanted.
+* ``native``: a window over the index gathers each sample's lagged partners, and the curve is folded
+  in order of lag by a higher-order aggregate; the shift is a regrouping by the target index. It makes
+  rows times lags within a task, so it is for narrow windows or where Python workers are not wanted.
 
 Neither shuffles: the frame is already partitioned by period.
 """
@@ -152,14 +152,19 @@ def _mean(x: np.ndarray) -> float:
 
 
 def lag_curve(df: DataFrame, scalar: str, low: int, high: int) -> DataFrame:
-    """(period, lag, cov, n): the curve by an equi-join on (period, i + lag), pre-centred."""
+    """(period, lag, cov, n): the curve of pre-centred pairs (i, i + lag) of a period.
+
+    A window gathers the partners: it moves no row, where a join would broadcast or shuffle rows times lags.
+    """
+    from pyspark.sql import Window as W
+
     by = keys(df)
     wm, cm = over(df, F.avg("w"), F.avg(scalar))
     centred = df.select(*by, INDEX, (F.col("w") - wm).alias("a"), (F.col(scalar) - cm).alias("b"))
-    left = centred.where("a is not null").select(*by, "a", INDEX, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"))
-    left = left.withColumn("j", F.col(INDEX) + F.col("lag")).drop(INDEX)
-    right = centred.where("b is not null").select(*by, "b", F.col(INDEX).alias("j"))
-    met = left.join(right, [*by, "j"])
+    partner = F.when(F.col("b").isNotNull(), F.struct(F.col(INDEX).alias("j"), "b"))
+    near = F.collect_list(partner).over(W.partitionBy(*by).orderBy(INDEX).rangeBetween(low, high))
+    met = centred.withColumn("near", near).where("a is not null").select(*by, INDEX, "a", F.explode("near").alias("y"))
+    met = met.select(*by, (F.col("y.j") - F.col(INDEX)).cast("int").alias("lag"), "a", F.col("y.b").alias("b"))
     k = F.count(F.lit(1))
     cov = F.when(k >= 2, (F.sum(F.col("a") * F.col("b")) - F.sum("a") * F.sum("b") / k) / F.greatest(k - 1, F.lit(1)))
     return met.groupBy(*by, "lag").agg(cov.alias("cov"), k.alias("n"))

@@ -239,3 +239,11 @@ def test_configuration_matrix(spark, changes):
     df, _ = frame(spark, cfg, n=120)
     rows = publish(run(df, cfg), cfg).collect()
     assert rows and len(rows[0]) == 62
+
+
+def test_lag_curve_moves_no_samples(spark, sf_dir):
+    """Pairs meet within their period's task: no join, so nothing of the samples is broadcast or shuffled again."""
+    from eddyforge import queries as Q
+
+    plan = Q.lag_curve_co2(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
