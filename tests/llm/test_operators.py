@@ -846,3 +846,17 @@ def test_presence_does_not_depend_on_pieces(monkeypatch):
     whole = language.presence(text)
     monkeypatch.setattr(language, "CHUNK", 5)
     assert np.array_equal(whole, language.presence(text))
+
+
+def test_wanted_lines_are_not_broadcast(spark, monkeypatch):
+    plans = {}
+    write = lines.materialize
+
+    def seen(session, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(session, df, name)
+
+    monkeypatch.setattr(lines, "materialize", seen)
+    df = spark.createDataFrame([(i, f"{'one line of a text that is long enough to be near another '}{i % 7}") for i in range(50)], "doc_id long, text string")
+    assert lines.dedup_lines(spark, df).count() == 50
+    assert "SortMergeJoin" in plans["line-texts"] and "BroadcastHashJoin" not in plans["line-texts"]
