@@ -860,3 +860,14 @@ def test_wanted_lines_are_not_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"{'one line of a text that is long enough to be near another '}{i % 7}") for i in range(50)], "doc_id long, text string")
     assert lines.dedup_lines(spark, df).count() == 50
     assert "SortMergeJoin" in plans["line-texts"] and "BroadcastHashJoin" not in plans["line-texts"]
+
+
+# ---- tables written to the shared folder
+
+
+def test_a_table_collects_what_past_ones_left(spark):
+    full = lambda: sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    for k in range(3):
+        assert materialize(spark, spark.range(100).groupBy((F.col("id") % (k + 2)).alias("k")).count(), "past").count() == k + 2
+    assert full() >= before + 3
